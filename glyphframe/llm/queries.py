@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, pii, simhash, toxicity
+from . import bpe, hilbert_ann, line_dedup, mixing, pii, simhash, topk, toxicity, url_filter
 from .common import read_table
 
 
@@ -37,12 +37,24 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), path, pattern, columns=["doc_id"], keep_ids=False)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(read_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return toxicity.toxicity(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op9_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_ids(read_table(spark, sf_dir, "documents"))
 
@@ -52,11 +64,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_pii": op3_pii,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_url_filter": op6_url_filter,
+    "op7_exact_topk": op7_exact_topk,
     "op8_toxicity": op8_toxicity,
+    "op9_hilbert_ann": op9_hilbert_ann,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL,
+    "op7_exact_topk": topk.ORACLE_SQL,
     "op10_mixing": mixing.oracle_sql(),
 }
