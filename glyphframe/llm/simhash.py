@@ -10,8 +10,8 @@ if such lists meet, and no more than 33 can meet in one place. Each meeting give
 verified. Work is in proportion to the rows, whatever the size of a group.
 
 similar_groups() is for a similarity of shingles instead (0.8 by default). At that similarity about one bit in seven
-differs, beyond what blocks can promise, so it uses 960 bits in 45 blocks: rows are range-partitioned by block and further
-bits, each is compared with the next few in that order, and the distance over all 960 bits decides.
+differs, beyond what blocks can promise, so it uses 960 bits in 60 blocks: rows are range-partitioned by block and further
+bits, each is compared with those that follow in that order, and the distance over all 960 bits decides.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from .components import components
 
 #: Odd multipliers that derive further 64-bit hashes from one; the first leaves it as it is.
 MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64)]
-BLOCK_BITS, BLOCKS = 20, 3
+BLOCK_BITS, BLOCKS = 16, 4
 
 
 def shingle_hashes(text: bytes, words: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
@@ -122,36 +122,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def bits_apart(similarity: float, bits: int) -> int:
-    """The bits of SimHash expected to differ between two sets of shingles of that Jaccard similarity, and one deviation more."""
+    """The bits of SimHash expected to differ between two sets of shingles of that Jaccard similarity, and one and a half deviations more."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
 
 
-def _neighbours(reach: int, most: int):
-    """Pairs of rows (key, other, node) at most reach places apart in order, of one key, whose other bits differ in at most most."""
+def _neighbours(reach: int, links: int, most: int):
+    """Pairs of rows (key, other, node) of one key: each with the next few (links) that look alike, at most reach places on.
+
+    Rows look alike if their other bits differ in at most most. In a group of many that look alike each row is linked with
+    those right after it, which connects the group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            key, other, node = before = [np.concatenate((a, b.to_numpy(zero_copy_only=False))) for a, b in zip(before, batch.columns, strict=True)]
-            new, firsts, seconds = len(key) - batch.num_rows, [], []
-            for d in range(1, reach + 1):
-                at = np.arange(max(0, new - d), len(key) - d)
-                at = at[(key[at] == key[at + d]) & (np.bitwise_count((other[at] ^ other[at + d]).view(np.uint64)) <= most)]
+            key, other, node = [np.concatenate((a, b.to_numpy(zero_copy_only=False))) for a, b in zip(before, batch.columns, strict=True)]
+            old, n, firsts, seconds = len(before[0]), len(key), [], []
+            have = np.zeros(n, np.int64) if not old else np.concatenate((carried, np.zeros(n - old, np.int64)))  # noqa: F821
+            for d in range(1, min(reach, n - 1) + 1):
+                lo = max(0, old - d)  # pairs within what was carried over are known already
+                at = lo + np.flatnonzero(key[lo : n - d] == key[lo + d :])
+                at = at[have[at] < links]
+                at = at[np.bitwise_count((other[at] ^ other[at + d]).view(np.uint64)) <= most]
+                have[at] += 1
                 firsts.append(node[at])
                 seconds.append(node[at + d])
-            a, b = np.concatenate(firsts), np.concatenate(seconds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            before = [x[-reach:] for x in before]
+            if firsts:
+                a, b = np.concatenate(firsts), np.concatenate(seconds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            before, carried = [x[-reach:] for x in (key, other, node)], have[-reach:]
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 15, reach: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 15, reach: int = 32, links: int = 3) -> DataFrame:
     """(doc, root): of each group of near-duplicates of more than one id, the ids and the smallest of them.
 
     Two documents are near if their fingerprints of 64 * longs bits over shingles of so many words are as close as those
-    of documents of that Jaccard similarity are expected to be (one deviation more passes). Texts without words are all
+    of documents of that Jaccard similarity are expected to be, with one and a half deviations to spare. Texts without words are all
     alike. Rows of null ids take no part.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col, words, longs).where("doc is not null"))
@@ -165,7 +174,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = classes.select(F.explode(F.array(*rows)).alias("x"), "node").select("x.key", "x.other", "node")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     ordered = blocks.repartitionByRange(parts, "key", "other", "node").sortWithinPartitions("key", "other", "node")
-    pairs = ordered.mapInArrow(_neighbours(reach, 21), "a bigint, b bigint").distinct()
+    pairs = ordered.mapInArrow(_neighbours(reach, links, 22), "a bigint, b bigint").distinct()
     apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     links = pairs.join(classes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(apart <= bits_apart(similarity, 64 * longs)).select("a", "b")
     copies = prints.join(classes, "fp").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
