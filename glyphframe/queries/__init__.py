@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import tabular  # noqa: F401
+from . import analysis, tabular, visual  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
