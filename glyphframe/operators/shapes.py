@@ -144,6 +144,11 @@ def angle(dy: str, dx: str):
     return F.pmod(F.degrees(F.atan2(F.col(dy).cast("double"), F.col(dx).cast("double"))), F.lit(180.0))
 
 
+def angle_between(y1: str, y2: str, x1: str, x2: str):
+    """Direction from one point to another, 0 to 180 exclusive."""
+    return F.pmod(F.degrees(F.atan2((F.col(y2) - F.col(y1)).cast("double"), (F.col(x2) - F.col(x1)).cast("double"))), F.lit(180.0))
+
+
 def angle_histogram(rows: DataFrame, group: list[str], degrees: str, bins: int = 12) -> DataFrame:
     """(group, bin, n): bins of equal width from 0 to 180 with 180 in the last; all bins of each group."""
     width = 180.0 / bins

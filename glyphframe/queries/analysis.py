@@ -180,7 +180,7 @@ def test_probabilities(spark, sf):
 
 # Graphs: parts that stand in one order at least twice together.
 
-EDGES = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst, n AS weight FROM pairs WHERE n >= 2 OR (lo * 31 + hi) % 97 = 0), both AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+EDGES = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst, n AS weight FROM pairs WHERE n >= 2 OR (lo * 31 + hi) % 97 = 0), bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def edges(spark, sf):
@@ -190,25 +190,25 @@ def edges(spark, sf):
     return pairs.select(F.lit(0).alias("graph"), F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("n").alias("weight"))
 
 
-@query(f"WITH {EDGES}, d AS (SELECT src, count(*) AS d FROM both GROUP BY 1) SELECT count(*) AS n_nodes, (sum(d) / 2)::BIGINT AS n_edges, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 8) AS density FROM d")
+@query(f"WITH {EDGES}, d AS (SELECT src, count(*) AS d FROM bi GROUP BY 1) SELECT count(*) AS n_nodes, (sum(d) / 2)::BIGINT AS n_edges, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, round(sum(d) / (count(*) * (count(*) - 1)), 8) AS density FROM d")
 def graph_degree(spark, sf):
     return N.metrics(edges(spark, sf)).select("n_nodes", "n_edges", F.round("avg_degree", 6).alias("avg_degree"), "max_degree", F.round("density", 8).alias("density"))
 
 
-SPARSE = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst FROM pairs WHERE (lo * 31 + hi) % 97 = 0), both AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+SPARSE = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst FROM pairs WHERE (lo * 31 + hi) % 97 = 0), bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
 
 def sparse_edges(spark, sf):
     return edges(spark, sf).where("(src * 31 + dst) % 97 = 0")
 
 
-@query(f"WITH RECURSIVE {SPARSE}, reach(a, b) AS (SELECT src, src FROM both UNION SELECT r.a, e.dst FROM reach r JOIN both e ON e.src = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1")
+@query(f"WITH RECURSIVE {SPARSE}, reach(a, b) AS (SELECT src, src FROM bi UNION SELECT r.a, e.dst FROM reach r JOIN bi e ON e.src = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1")
 def graph_components(spark, sf):
     return N.components(sparse_edges(spark, sf)).select("node", "component")
 
 
-SMALL = "e AS (SELECT DISTINCT n_regionkey AS graph, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT n_regionkey, n_nationkey AS a, lead(n_nationkey, k.range) OVER (PARTITION BY n_regionkey, k.range ORDER BY n_nationkey) AS b FROM nation, range(1, 3) k) WHERE b IS NOT NULL AND (a + b) % 3 <> 0), both AS (SELECT graph, src, dst FROM e UNION SELECT graph, dst, src FROM e)"
-HOPS = f"{SMALL}, walk(graph, a, b, d) AS (SELECT graph, src, src, 0 FROM both UNION SELECT w.graph, w.a, e.dst, w.d + 1 FROM walk w JOIN both e ON e.graph = w.graph AND e.src = w.b WHERE w.d < 12), hops AS (SELECT graph, a, b, min(d) AS d FROM walk GROUP BY 1, 2, 3)"
+SMALL = "e AS (SELECT DISTINCT n_regionkey AS graph, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT n_regionkey, n_nationkey AS a, lead(n_nationkey, k.range) OVER (PARTITION BY n_regionkey, k.range ORDER BY n_nationkey) AS b FROM nation, range(1, 3) k) WHERE b IS NOT NULL AND (a + b) % 3 <> 0), bi AS (SELECT graph, src, dst FROM e UNION SELECT graph, dst, src FROM e)"
+HOPS = f"{SMALL}, walk(graph, a, b, d) AS (SELECT graph, src, src, 0 FROM bi UNION SELECT w.graph, w.a, e.dst, w.d + 1 FROM walk w JOIN bi e ON e.graph = w.graph AND e.src = w.b WHERE w.d < 12), hops AS (SELECT graph, a, b, min(d) AS d FROM walk GROUP BY 1, 2, 3)"
 
 
 def region_graphs(spark, sf):
@@ -216,7 +216,8 @@ def region_graphs(spark, sf):
 
     n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("graph"), F.col("n_nationkey").alias("a"))
     w = Window.partitionBy("graph").orderBy("a")
-    e = n.select("graph", "a", F.explode(F.array(F.lead("a", 1).over(w), F.lead("a", 2).over(w))).alias("b"))
+    n = n.select("graph", "a", F.lead("a", 1).over(w).alias("next"), F.lead("a", 2).over(w).alias("after"))
+    e = n.select("graph", "a", F.explode(F.array("next", "after")).alias("b"))
     return e.where("b is not null and (a + b) % 3 <> 0").select("graph", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), F.lit(1.0).alias("weight")).distinct()
 
 
@@ -229,7 +230,7 @@ def graph_diameter(spark, sf):
     return N.small_graphs(region_graphs(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
 
 
-@query(f"WITH {EDGES}, d AS (SELECT src, count(*) AS d FROM both GROUP BY 1), t AS (SELECT a.src, count(*) AS t FROM both a JOIN both b ON b.src = a.src AND a.dst < b.dst JOIN both c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1) SELECT round(avg(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END), 6) AS clustering FROM d LEFT JOIN t USING (src)")
+@query(f"WITH {EDGES}, d AS (SELECT src, count(*) AS d FROM bi GROUP BY 1), t AS (SELECT a.src, count(*) AS t FROM bi a JOIN bi b ON b.src = a.src AND a.dst < b.dst JOIN bi c ON c.src = a.dst AND c.dst = b.dst GROUP BY 1) SELECT round(avg(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END), 6) AS clustering FROM d LEFT JOIN t USING (src)")
 def graph_clustering(spark, sf):
     return N.clustering(edges(spark, sf)).select(F.round("clustering", 6).alias("clustering"))
 

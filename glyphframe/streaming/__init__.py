@@ -1 +1 @@
-
+"""Streaming forms of the grouping by gaps and of windowed profiles."""
