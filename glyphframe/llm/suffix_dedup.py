@@ -10,8 +10,9 @@
    only. The merge yields the common prefixes of neighbours in the whole order; the same is done with the reversed text on
    the left. Two contexts share the window that starts l bytes before the anchor exactly if no shorter prefix than
    length - l and no shorter left text than l lies between them, which integer keys decide for all contexts at once.
-3. A gram with very many different contexts would gather in one task. Its windows are counted one by one instead, by
-   128-bit hashes that any task can hold.
+3. A gram with many different contexts would gather in one task. Its contexts are cut into pieces of SPAN windows instead,
+   which are grouped by the 128-bit hash of what all windows of the piece share, and counted by that of the whole piece.
+   Only where different pieces share that core, at the ends of repeated passages, windows are counted one by one.
 
 Texts move twice, to meet the places to fetch and the spans to remove. Memory is bounded by FLUSH and by the groups.
 """
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed, packed, schema, texts, with_outputs, written
+from .simhash import signed
 from .substrings import GRAM, anchors
 
-HOT, FLUSH, SLOTS = 192, 32 << 20, 27
-WINDOW = np.dtype([("w1", "<i8"), ("w2", "<i8"), ("doc", "<i8"), ("th", "<i8"), ("at", "<i8"), ("known", "<i8")])
+HOT, FLUSH, SLOTS, SPAN = 64, 32 << 20, 27, 16
+PIECE = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("known", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
 
 def _grams(length: int):
@@ -149,7 +151,7 @@ class Item:
 
 
 def _runs(length: int, groups: int):
-    """(p, data): front-coded sorted runs of the suffixes of each group p of grams; at p = -1, windows of hot grams by hash."""
+    """(p, data): front-coded sorted runs of the suffixes of each group p of grams; at p = -1, pieces of the contexts of hot grams."""
     out = schema("p int, shared binary, sizes binary, rests binary, left_sizes binary, lefts binary, meta binary")
 
     def flush(held: dict[int, list]) -> pa.RecordBatch:
@@ -162,9 +164,20 @@ def _runs(length: int, groups: int):
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(x, pa.binary()) for x in rows[1:]]], out.names)
 
-    def windows(rows: list[tuple]) -> pa.RecordBatch:
+    def cut_up(text: bytes, doc: int, th: int, at: int, near: int, far: int, known: int) -> Iterator[tuple]:
+        for q in range(near // SPAN, far // SPAN + 1):
+            core = xxhash.xxh3_128_digest(text[at - SPAN * q : at - SPAN * q - SPAN + 1 + length])
+            first, last = at - min(far, SPAN * q + SPAN - 1), at - max(near, SPAN * q)
+            piece = xxhash.xxh3_128_digest(text[first : last + length], SPAN)
+            numbers = [int.from_bytes(x[k : k + 8], "little", signed=True) for x in (core, piece) for k in (0, 8)]
+            yield (*numbers, doc, th, first, known, [signed(xxhash.xxh3_64_intdigest(text[i : i + length])) for i in range(first, last + 1)])
+
+    def pieces(rows: list[tuple]) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, PIECE) as writer:
+            writer.write_batch(pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows, strict=True), PIECE, strict=True)], schema=PIECE))
         blank = pa.array([b""], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[blank] * 5, pa.array([np.array(rows, WINDOW).tobytes()], pa.binary())], out.names)
+        return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[blank] * 5, pa.array([sink.getvalue().to_pybytes()], pa.binary())], out.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -175,11 +188,9 @@ def _runs(length: int, groups: int):
                     pos, kh, known = x["pos"], x["kh"], int(x["known"])
                     lo, ahead, span = pos >> 16, pos >> 8 & 255, pos & 255
                     if x["hot"]:
-                        for i in range(lo, lo + span + 1):
-                            h = xxhash.xxh3_128_digest(text[i : i + length])
-                            hot.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), doc, th, i, known))
-                        if len(hot) > 1 << 16:
-                            yield windows(hot)
+                        hot += cut_up(text, doc, th, lo + ahead, ahead - span, ahead, known)
+                        if len(hot) > 1 << 13:
+                            yield pieces(hot)
                             hot = []
                         continue
                     at = lo + ahead
@@ -189,7 +200,7 @@ def _runs(length: int, groups: int):
                         yield flush(held)
                         size = 0
         if hot:
-            yield windows(hot)
+            yield pieces(hot)
         if held:
             yield flush(held)
 
@@ -254,8 +265,21 @@ def _merge(length: int):
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
-            rows = np.frombuffer(data, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[x])) for x in WINDOW.names], list(WINDOW.names))
+            yield from pa.ipc.open_stream(data)
+
+
+def hot_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """(doc, th, start, end) of the windows that pieces (the columns of PIECE) share."""
+    names = ["c1", "c2", "b1", "b2"]
+    kinds = checkpointed(pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "at", "known", "windows")).alias("of")))
+    mixed = checkpointed(kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("c1", "c2"))
+    ends = F.col("at") + F.size("windows") - 1 + length
+    whole = pieces.where("known = 0").join(kinds.where("n > 1").select(*names), names).select("doc", "th", F.col("at").alias("start"), ends.alias("end"))
+    # In both halves, what is known to repeat counts as another place but needs no span of its own.
+    single = kinds.join(mixed, ["c1", "c2"]).select("c1", "c2", "of.doc", "of.th", "of.at", ((F.col("n") > 1) | (F.col("of.known") == 1)).alias("known"), F.posexplode("of.windows").alias("i", "w"))
+    again = checkpointed(single.groupBy("c1", "c2", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2", "w"))
+    start = F.col("at") + F.col("i")
+    return whole.union(single.where("not known").join(again, ["c1", "c2", "w"]).select("doc", "th", start.alias("start"), (start + length).alias("end")))
 
 
 def repeated_spans(keyed: DataFrame, length: int = 200, slots: int = SLOTS) -> DataFrame:
@@ -276,9 +300,7 @@ def repeated_spans(keyed: DataFrame, length: int = 200, slots: int = SLOTS) -> D
     run, kinds = _runs(length, groups)
     runs = written(keyed.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(run, kinds))
     ends = runs.where("p >= 0").groupBy("p").applyInArrow(_merge(length), "doc bigint, th bigint, start bigint, end bigint")
-    hot = runs.where("p < 0").select("meta").mapInArrow(_unpack, "w1 bigint, w2 bigint, doc bigint, th bigint, at bigint, known bigint")
-    again = checkpointed(hot.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
-    singles = hot.where("known = 0").join(again, ["w1", "w2"]).select("doc", "th", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
+    singles = hot_spans(runs.where("p < 0").select("meta").mapInArrow(_unpack, "c1 bigint, c2 bigint, b1 bigint, b2 bigint, doc bigint, th bigint, at bigint, known bigint, windows array<bigint>"), length)
     first = F.shiftright("pos", 16)
     whole = rows.join(contexts.where("n > 1").select("kh", "xh"), ["kh", "xh"]).select("doc", "th", first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(255)) + length).alias("end"))
     return ends.union(singles).union(whole)
