@@ -18,7 +18,7 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | str) ->
 
 def read_keyed(spark: SparkSession, path: str, value: str, key: str = "key", out: str = "value") -> DataFrame:
     """(key, value): one row a key of a file that holds one JSON object with open keys; value is its type in DDL."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias(key, out))
 
 
