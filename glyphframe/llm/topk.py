@@ -74,10 +74,11 @@ def _huge(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
     rows, found, scores = [], [], []
     for i, (own, row) in enumerate(zip(q_ids, q, strict=True)):
         mine = [int(v) for v in row]
-        all_ = sorted((-sum(a * b for a, b in zip(mine, other, strict=True)), int(j)) for j, other in zip(ids, whole, strict=True) if j != own)[:k]
+        fit = lambda score: max(-(2**63), min(2**63 - 1, score))
+        all_ = sorted((-fit(sum(a * b for a, b in zip(mine, other, strict=True))), int(j)) for j, other in zip(ids, whole, strict=True) if j != own)[:k]
         rows += [i] * len(all_)
         found += [j for _, j in all_]
-        scores += [max(-(2**63), min(2**63 - 1, -s)) for s, _ in all_]
+        scores += [-s for s, _ in all_]
     return np.array(rows, np.int64), np.array(found, np.int64), np.array(scores, np.int64)
 
 
@@ -88,7 +89,7 @@ def top_k(table: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, i
     than k rows if there are fewer candidates. Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows of null ids. Vectors of different lengths are filled up with zeros. Rows that repeat an id and its
     vector count once; an id of several vectors is a query for each, and a candidate for each. Rows of the query's own id
-    are no candidates. Scores beyond 64 bits are given as the nearest that fits. No rows give no rows.
+    are no candidates. Scores beyond 64 bits count as the nearest that fits. No rows give no rows.
     """
     rows = checkpointed(vectors(table, id_col, vector_col))
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum((F.pmod("id", F.lit(every)) == 0).cast("long")), F.lit(0)).alias("m")).first()
