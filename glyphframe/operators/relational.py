@@ -91,9 +91,7 @@ def both_ends(rows: DataFrame, order: list[Column], reverse: list[Column], k: in
 
 def reading_order(rows: DataFrame, y: str, x: str, key: str, gap: float, group: list[str]) -> DataFrame:
     """line and position: a new line begins where y lies more than gap beyond the one before; within a line by x."""
-    down = Window.partitionBy(*group).orderBy(y, key)
-    jump = F.coalesce((F.col(y) - F.lag(y).over(down) > gap).cast("long"), F.lit(0))
-    lined = rows.withColumn("line", F.sum("jump_").over(down)) if "jump_" in rows.columns else rows.withColumn("jump_", jump).withColumn("line", F.sum("jump_").over(down)).drop("jump_")
+    lined = islands(rows, group, y, key, gap).withColumnRenamed("island", "line")
     return lined.withColumn("position", F.row_number().over(Window.partitionBy(*group).orderBy("line", x, key)))
 
 
