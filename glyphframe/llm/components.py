@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
     Each round a node takes the smallest root among its own and its neighbours', then its root's root, so that chains

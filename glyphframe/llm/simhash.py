@@ -34,7 +34,7 @@ MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64
 BLOCK_BITS, BLOCKS = 16, 4
 
 
-def shingle_hashes(text: bytes, words: int, most: int = 1 << 16) -> Iterator[np.ndarray]:
+def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.ndarray]:
     """XXH64 (seed 42) of each shingle of the lower-cased text, at most so many at once."""
     found = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not found:
@@ -156,7 +156,7 @@ def _neighbours(reach: int, links: int, most: int):
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 15, reach: int = 32, links: int = 3) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 15, reach: int = 32, links: int = 1) -> DataFrame:
     """(doc, root): of each group of near-duplicates of more than one id, the ids and the smallest of them.
 
     Two documents are near if their fingerprints of 64 * longs bits over shingles of so many words are as close as those
