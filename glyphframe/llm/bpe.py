@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import driver_file, packed, schema, texts, with_outputs
 
-LONGEST, PIECES, CACHE = 256, 1 << 18, 1 << 19
+LONGEST, PIECES, CACHE = 256, 1 << 17, 1 << 18
 NONE = np.int64(1) << 40
 
 
@@ -35,12 +35,12 @@ class Tokenizer:
         self.ids = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
         self.tokens = {i: t for t, i in self.ids.items()}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
-        self.pairs = {(a, b): i for t, i in self.ids.items() for k in range(1, len(t)) if (a := self.ids.get(t[:k])) is not None and (b := self.ids.get(t[k:])) is not None}
         self.shift = np.int64(max(self.tokens).bit_length())
-        self.mask = (1 << (4 * len(self.pairs)).bit_length()) - 1
+        pairs = [(a << int(self.shift) | b, i) for t, i in self.ids.items() for k in range(1, len(t)) if (a := self.ids.get(t[:k])) is not None and (b := self.ids.get(t[k:])) is not None]
+        self.mask = (1 << (2 * len(pairs)).bit_length()) - 1
         self.keys, self.values = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, NONE, np.int64)
-        keys = np.array([a << int(self.shift) | b for a, b in self.pairs], np.int64)
-        values, at = np.fromiter(self.pairs.values(), np.int64, len(self.pairs)), self._slot(keys)
+        keys, values = np.array(pairs, np.int64).reshape(-1, 2).T.copy()
+        at = self._slot(keys)
         while len(keys):  # linear probing, all keys at once: of those that want a free slot, the first gets it
             _, first = np.unique(at, return_index=True)
             first = first[self.keys[at[first]] == -1]
@@ -114,8 +114,9 @@ class Tokenizer:
     def _long(self, piece: bytes) -> np.ndarray:
         ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
         n = len(ids)
-        after, before, pairs = list(range(1, n + 1)), list(range(-1, n - 1)), self.pairs
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1]))) is not None]
+        after, before, tokens = list(range(1, n + 1)), list(range(-1, n - 1)), self.tokens
+        pair = lambda a, b: self.ids.get(tokens[a] + tokens[b])
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pair(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i, a, b = heapq.heappop(heap)
@@ -126,9 +127,9 @@ class Tokenizer:
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get((rank, ids[k]))) is not None:
+                if (r := pair(rank, ids[k])) is not None:
                     heapq.heappush(heap, (r, i, rank, ids[k]))
-            if (h := before[i]) >= 0 and (r := pairs.get((ids[h], rank))) is not None:
+            if (h := before[i]) >= 0 and (r := pair(ids[h], rank)) is not None:
                 heapq.heappush(heap, (r, h, ids[h], rank))
         return np.array([x for x in ids if x >= 0], np.int64)
 
@@ -191,6 +192,7 @@ def _encode(ranks, pattern: str, keep_ids: bool):
                     parts.append(part)
             ids = [np.frombuffer(b"".join(x[3]), "<u4").astype(np.int32) for x in found] if keep_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(ids, pa.list_(pa.int32()))] * keep_ids, pa.array([x[2] for x in found], pa.int64()), *[pa.array([x[k].hexdigest() for x in found], pa.string()) for k in (0, 1)]], ["row", *["ids"] * keep_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
+        made.cache.clear()  # the worker lives on, beside other stages
 
     return run
 

@@ -31,6 +31,7 @@ from .simhash import shingle_hashes
 MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 BLANKS = bytes.maketrans(MARKS, b" " * len(MARKS))
 STEMS = (4, 5, 6, 7)
+CACHE = 1 << 17  # words that a worker remembers
 PASSAGES = "array<struct<start: int, end: int, score: double, evalue: double>>"
 
 
@@ -82,8 +83,9 @@ class Model:
     def score(self, word: bytes) -> float | None:
         """None: no evidence."""
         found = max((s for f in features(word) if (s := self.scores.get(f)) is not None), default=None)
-        if len(self.cache) < 1 << 20:
-            self.cache[word] = found
+        if len(self.cache) >= CACHE:
+            self.cache.clear()
+        self.cache[word] = found
         return found
 
     def passages(self, text: bytes, most: float = 0.05) -> tuple[int, float, list[tuple[int, int, float, float]]]:
@@ -233,5 +235,6 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             p = [made.probability(*x) for x in found]
             rows = [[dict(zip(("start", "end", "score", "evalue"), y, strict=True)) for y in x[2]] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array([int(x >= 0.5) for x in p], pa.int32()), pa.array([x[0] for x in found], pa.int64()), pa.array(rows, passage)], ["row", *names])
+        made.cache.clear()  # the worker lives on, beside other stages
 
     return with_outputs(rows.mapInArrow(run, out), "row", names)
