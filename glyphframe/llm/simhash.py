@@ -9,9 +9,10 @@ fingerprint itself and those one bit away among the bits outside the key: two fi
 if such lists meet, and no more than 33 can meet in one place. Each meeting gives a star of links, whose distance is
 verified. Work is in proportion to the rows, whatever the size of a group.
 
-similar_groups() is for a similarity of shingles instead (0.8 by default). At that similarity about one bit in seven
-differs, beyond what blocks can promise, so it uses 960 bits in 60 blocks: rows are range-partitioned by block and further
-bits, each is compared with those that follow in that order, and the distance over all 960 bits decides.
+similar_groups() is for a similarity of sets of shingles instead (0.8 by default), and exact too. With the hashes of each
+set in one order, two sets that similar share one of the first n - ceil(0.8 n) + 1 of each, so documents meet by those.
+Each meeting is verified by the sets. First a document is tried with one other of each key, which brings large groups
+together in few links; then all pairs that share a key and are in no common group yet are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from .components import components
 
 #: Odd multipliers that derive further 64-bit hashes from one; the first leaves it as it is.
 MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64)]
-BLOCK_BITS, BLOCKS = 16, 4
+#: Products of sizes and a similarity may be off by rounding.
+SLACK = 1e-9
 
 
 def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -121,66 +123,109 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("doc").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("doc").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-def bits_apart(similarity: float, bits: int) -> int:
-    """The bits of SimHash expected to differ between two sets of shingles of that Jaccard similarity, and one and a half deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct hashes of the shingles in rising order, as int64 of the same bits."""
+    found = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
 
 
-def _neighbours(reach: int, links: int, most: int):
-    """Pairs of rows (key, other, node) of one key: each with the next few (links) that look alike, at most reach places on.
+def _heads(words: int, similarity: float):
+    """(doc, digest, n, head) of (doc, text): a digest of the set, its size, and the first of it that any set so similar must meet."""
 
-    Rows look alike if their other bits differ in at most most. In a group of many that look alike each row is linked with
-    those right after it, which connects the group.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
+                sets = [shingle_set(x, words) for x in texts(part.column(1))]
+                heads = [x[: len(x) - math.ceil(similarity * len(x) - SLACK) + 1] for x in sets]
+                digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+                ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(x) for x in sets], pa.int32()), column], ["doc", "digest", "n", "head"])
+
+    return run
+
+
+def _wanted_sets(words: int, slots: int, bits):
+    """(node, hashes) of (doc, text) for the documents whose slot is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << slots) - 1)
+            batch = batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63)) & 1 == 1))
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
+                sets = [shingle_set(x, words) for x in texts(part.column(1))]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "hashes"])
+
+    return run
+
+
+def _similar(similarity: float):
+    """(a, b) of (a, b, hashes_a, hashes_b) of that Jaccard similarity or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = [np.empty(0, np.int64)] * 3
         for batch in batches:
-            key, other, node = [np.concatenate((a, b.to_numpy(zero_copy_only=False))) for a, b in zip(before, batch.columns, strict=True)]
-            old, n, firsts, seconds = len(before[0]), len(key), [], []
-            have = np.zeros(n, np.int64) if not old else np.concatenate((carried, np.zeros(n - old, np.int64)))  # noqa: F821
-            for d in range(1, min(reach, n - 1) + 1):
-                lo = max(0, old - d)  # pairs within what was carried over are known already
-                at = lo + np.flatnonzero(key[lo : n - d] == key[lo + d :])
-                at = at[have[at] < links]
-                at = at[np.bitwise_count((other[at] ^ other[at + d]).view(np.uint64)) <= most]
-                have[at] += 1
-                firsts.append(node[at])
-                seconds.append(node[at + d])
-            if firsts:
-                a, b = np.concatenate(firsts), np.concatenate(seconds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            before, carried = [x[-reach:] for x in (key, other, node)], have[-reach:]
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, longs: int = 15, reach: int = 32, links: int = 1) -> DataFrame:
+def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, slots: int = 23) -> DataFrame:
+    """The pairs (a, b) of documents of keyed (doc, text) whose sets of shingles are that similar."""
+    # Sets are made again for the documents that pairs name; a bit map of fixed size spares the others, and the joins decide.
+    slot = F.col("node").bitwiseAND(F.lit((1 << slots) - 1))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    found = named.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (slots - 6), np.int64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    sets = keyed.mapInArrow(_wanted_sets(words, slots, keyed.sparkSession.sparkContext.broadcast(bits)), "node bigint, hashes array<bigint>")
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
+    return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
     """(doc, root): of each group of near-duplicates of more than one id, the ids and the smallest of them.
 
-    Two documents are near if their fingerprints of 64 * longs bits over shingles of so many words are as close as those
-    of documents of that Jaccard similarity are expected to be, with one and a half deviations to spare. Texts without words are all
-    alike. Rows of null ids take no part.
+    Two documents are near if the Jaccard similarity of their sets of shingles of so many words is at least that. All such
+    pairs count, and groups are what they connect. Texts without words are all alike. Rows of null ids take no part.
+    rounds changes the work only, not the groups.
     """
-    prints = checkpointed(fingerprints(docs, id_col, text_col, words, longs).where("doc is not null"))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc").alias("node")))
-    mask = (1 << BLOCK_BITS) - 1
-    rows = []
-    for w in range(longs):
-        for k in range(BLOCKS):
-            block = F.shiftrightunsigned(F.col("fp")[w], BLOCK_BITS * k).bitwiseAND(F.lit(mask))
-            rows.append(F.struct((block + F.lit((w * BLOCKS + k) << BLOCK_BITS)).alias("key"), F.col("fp")[(w + 1) % longs].alias("other")))
-    blocks = classes.select(F.explode(F.array(*rows)).alias("x"), "node").select("x.key", "x.other", "node")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = blocks.repartitionByRange(parts, "key", "other", "node").sortWithinPartitions("key", "other", "node")
-    pairs = ordered.mapInArrow(_neighbours(reach, links, 22), "a bigint, b bigint").distinct()
-    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    links = pairs.join(classes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a").join(classes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b").where(apart <= bits_apart(similarity, 64 * longs)).select("a", "b")
-    copies = prints.join(classes, "fp").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b"))
-    roots = components(links)
-    copied = copies.join(roots.withColumnRenamed("node", "b"), "b", "left").select(F.col("a").alias("doc"), F.coalesce("root", "b").alias("root"))
-    return copied.union(roots.where("node <> root").select("node", "root")).distinct()
+    keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc is not null")
+    heads = checkpointed(keyed.mapInArrow(_heads(words, similarity), "doc bigint, digest binary, n int, head array<bigint>"))
+    classes = checkpointed(heads.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")))
+    copies = heads.select("doc", "digest").join(classes.select("digest", "node"), "digest").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    links = checkpointed(copies)
+    rows = classes.select("node", "n", F.posexplode("head").alias("pos", "key"))
+    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    rows = checkpointed(rows.join(shared, "key"))
+    tried = None
+    for r in range(rounds + 1):
+        roots = components(links)
+        placed = rows.join(roots, "node", "left").select("key", "pos", "node", "n", F.coalesce("root", "node").alias("root"))
+        # Keys whose rows are all of one group have nothing left to link.
+        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("pos", "node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("y")).where("lo < hi").select("key", "y")
+        if r < rounds:  # each with one of the key, so that large groups come together in few links
+            met = placed.select("key", F.struct("pos", "node", "n", "root").alias("x")).join(mixed, "key")
+        else:  # whatever is still apart, all with all
+            left = checkpointed(placed.join(mixed.select("key"), "key").select("key", F.struct("pos", "node", "n", "root").alias("x")))
+            met = left.join(left.withColumnRenamed("x", "y"), "key").where("x.node < y.node")
+        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+        # The first hash that two sets share bounds what they share.
+        most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+        near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK)
+        pairs = met.where((F.col("x.root") != F.col("y.root")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = checkpointed(links.union(verified(pairs, keyed, words, similarity)))
+    return components(links).where("node <> root").select(F.col("node").alias("doc"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

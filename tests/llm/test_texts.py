@@ -136,6 +136,49 @@ def test_similar_groups_keep_one(spark):
     assert simhash.drop_near_duplicates(odd_docs(spark).limit(0)).count() == 0
 
 
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute_groups(rows, least=0.8):
+    """The smallest id that each id reaches over pairs of at least that Jaccard similarity."""
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]) - 1e-9:
+                lo, hi = sorted((find(i), find(j)))
+                root[hi] = lo
+    return {i: find(i) for i in root}
+
+
+def kept_of(spark, rows):
+    return sorted(r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_similar_groups_inside_families(spark):
+    """Texts of one template are alike but not similar enough; each has one true partner among them."""
+    rng = random.Random(5)
+    base, rows = [f"w{rng.randrange(9000)}" for _ in range(400)], []
+    for k in range(150):
+        words = list(base)
+        for at in range(5, 400, 25):
+            words[at] = f"f{k}x{at}"
+        rows.append((k, " ".join(words)))
+        for at in range(17, 217, 25):
+            words[at] = f"p{k}x{at}"
+        rows.append((500 + (k * 37) % 150, " ".join(words)))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 150
+    assert kept_of(spark, rows) == sorted(i for i, r in want.items() if i == r)
+
+
 # Byte-level BPE.
 
 
