@@ -34,6 +34,8 @@ from .components import components
 MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64)]
 #: Products of sizes and a similarity may be off by rounding.
 SLACK = 1e-9
+#: Longs of a set's sketch: a bit is the parity of how many hashes fall on it, so sets differ in at least as many hashes as sketches in bits.
+SKETCH = 8
 
 
 def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -130,7 +132,7 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 
 
 def _heads(words: int, similarity: float):
-    """(doc, digest, n, head) of (doc, text): a digest of the set, its size, and the first of it that any set so similar must meet."""
+    """(doc, digest, n, head, sketch) of (doc, text): a digest of the set, its size, and the first of it that any set so similar must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +143,8 @@ def _heads(words: int, similarity: float):
                 digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
                 ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(x) for x in sets], pa.int32()), column], ["doc", "digest", "n", "head"])
+                odd = [np.packbits((np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist() for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(x) for x in sets], pa.int32()), column, pa.array(odd, pa.list_(pa.int64()))], ["doc", "digest", "n", "head", "sketch"])
 
     return run
 
@@ -191,7 +194,7 @@ def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float,
     return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 2) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
     """(doc, root): of each group of near-duplicates of more than one id, the ids and the smallest of them.
 
     Two documents are near if the Jaccard similarity of their sets of shingles of so many words is at least that. All such
@@ -199,8 +202,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rounds changes the work only, not the groups.
     """
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc is not null")
-    heads = checkpointed(keyed.mapInArrow(_heads(words, similarity), "doc bigint, digest binary, n int, head array<bigint>"))
-    classes = checkpointed(heads.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")))
+    heads = checkpointed(keyed.mapInArrow(_heads(words, similarity), "doc bigint, digest binary, n int, head array<bigint>, sketch array<bigint>"))
+    classes = checkpointed(heads.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sketch").alias("sketch")))
     copies = heads.select("doc", "digest").join(classes.select("digest", "node"), "digest").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
     links = checkpointed(copies)
     rows = classes.select("node", "n", F.posexplode("head").alias("pos", "key"))
@@ -215,12 +218,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if r < rounds:  # each with one of the key, so that large groups come together in few links
             met = placed.select("key", F.struct("pos", "node", "n", "root").alias("x")).join(mixed, "key")
         else:  # whatever is still apart, all with all
-            left = checkpointed(placed.join(mixed.select("key"), "key").select("key", F.struct("pos", "node", "n", "root").alias("x")))
+            bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+            left = checkpointed(placed.join(mixed.select("key"), "key").join(classes.select("node", *bits), "node").select("key", F.struct("pos", "node", "n", "root", *[f"s{i}" for i in range(SKETCH)]).alias("x")))
             met = left.join(left.withColumnRenamed("x", "y"), "key").where("x.node < y.node")
         small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
         # The first hash that two sets share bounds what they share.
         most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK)
+        if r == rounds:
+            apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
+            near &= apart <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + SLACK
         pairs = met.where((F.col("x.root") != F.col("y.root")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
         tried = pairs if tried is None else tried.union(pairs)
