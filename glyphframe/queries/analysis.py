@@ -235,6 +235,29 @@ def graph_clustering(spark, sf):
     return N.clustering(edges(spark, sf)).select(F.round("clustering", 6).alias("clustering"))
 
 
+def all_edges(spark, sf):
+    """Each two parts that stand in an order together."""
+    from ..operators.aggregates import cooccurrence
+
+    pairs = cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
+    return pairs.select(F.lit(0).alias("graph"), F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("n").alias("weight"))
+
+
+@query()
+def graph_degree_all(spark, sf):
+    return N.metrics(all_edges(spark, sf)).select("n_nodes", "n_edges", F.round("avg_degree", 6).alias("avg_degree"), "max_degree", F.round("density", 8).alias("density"))
+
+
+@query()
+def graph_components_all(spark, sf):
+    return N.components(all_edges(spark, sf)).select("node", "component")
+
+
+@query()
+def graph_clustering_all(spark, sf):
+    return N.clustering(all_edges(spark, sf)).select(F.round("clustering", 6).alias("clustering"))
+
+
 @query()
 def laplacian_spectrum(spark, sf):
     return N.spectra(region_graphs(spark, sf))
