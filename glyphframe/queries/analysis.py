@@ -40,6 +40,11 @@ def pairwise_distances(spark, sf):
     return V.distances(embeddings(spark, sf).where("vec_id < 40"), "vec_id", "v").withColumn("d", F.round("d", 4))
 
 
+@query()
+def pairwise_distances_all(spark, sf):
+    return V.distances(embeddings(spark, sf), "vec_id", "v").withColumn("d", F.round("d", 4))
+
+
 @query("""
 WITH x AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings), g AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY 1), c AS (SELECT label, pos, avg(v) AS m FROM x GROUP BY 1, 2),
 z AS (SELECT label, pos::INTEGER AS pos, round((c.m - g.m) / g.s, 6) AS z FROM c JOIN g USING (pos))

@@ -33,3 +33,12 @@ def test_graphs_over_all_pairs(spark, small):
     assert dict(QUERIES["graph_components_all"](spark, small).collect()) == root
     local = [sum(len(near[q] & n) for q in n) / (len(n) * (len(n) - 1)) if len(n) > 1 else 0 for n in near.values()]
     assert abs(QUERIES["graph_clustering_all"](spark, small).collect()[0][0] - np.mean(local)) < 2e-6
+
+
+def test_distances_of_all_vectors(spark, small):
+    vectors = {i: np.array(v, float) for i, v in rows(small, "SELECT vec_id, embedding FROM '$/embeddings.parquet'")}
+    got = {(r.a, r.b): r.d for r in QUERIES["pairwise_distances_all"](spark, small).collect()}
+    assert len(got) == len(vectors) * (len(vectors) - 1)
+    for a, v in vectors.items():
+        for b, w in vectors.items():
+            assert a == b or abs(got[a, b] - np.sqrt(((v - w) ** 2).sum())) < 2e-4
