@@ -100,6 +100,12 @@ def range_join_prices(spark, sf):
     return R.range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, "lo", "hi", 500.0).select("p_partkey", "o_orderkey")
 
 
+@query()
+def range_join_prices_all(spark, sf):
+    ranges = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 20).alias("hi"))
+    return R.range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, "lo", "hi", 500.0).select("p_partkey", "o_orderkey")
+
+
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 14400 THEN 1 ELSE 0 END AS jump FROM events),
 i AS (SELECT *, sum(jump) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM e)
@@ -359,6 +365,13 @@ def top5_zero_filled(spark, sf):
     return spine.join(top.select(F.col("l_partkey").cast("int").alias("part"), "slot", F.col("l_quantity").alias("quantity")), ["part", "slot"], "left").select("part", "slot", F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
 
 
+@query()
+def top5_zero_filled_all(spark, sf):
+    spine = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("slot"))
+    top = R.top_per_group(table(spark, sf, "lineitem"), ["l_partkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")], 5, "slot")
+    return spine.join(top.select(F.col("l_partkey").alias("part"), "slot", F.col("l_quantity").alias("quantity")), ["part", "slot"], "left").select("part", "slot", F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
+
+
 # Text, scalars and arrays.
 
 CASES = ", ".join(f"CASE WHEN {' OR '.join(f'''contains(lower(coalesce(text, '')), '{w}')''' for w in ws)} THEN '{c}' END" for c, ws in sorted(KEYWORDS.items()))

@@ -42,3 +42,14 @@ def test_distances_of_all_vectors(spark, small):
     for a, v in vectors.items():
         for b, w in vectors.items():
             assert a == b or abs(got[a, b] - np.sqrt(((v - w) ** 2).sum())) < 2e-4
+
+
+def test_prices_and_slots_of_all_parts(spark, small):
+    prices, orders = rows(small, "SELECT p_partkey, p_retailprice FROM '$/part.parquet'"), rows(small, "SELECT o_orderkey, o_totalprice FROM '$/orders.parquet'")
+    want = sorted((p, o) for p, r in prices for o, t in orders if r * 100 <= t < r * 100 + 20)
+    assert sorted(map(tuple, QUERIES["range_join_prices_all"](spark, small).collect())) == want
+    sold = defaultdict(list)
+    for part, quantity in rows(small, "SELECT l_partkey, l_quantity FROM '$/lineitem.parquet'"):
+        sold[part].append(quantity)
+    slots = {(p, k + 1): q for p, _ in prices for k, q in enumerate((sorted(sold[p], reverse=True) + [0.0] * 5)[:5])}
+    assert {(r.part, r.slot): r.quantity for r in QUERIES["top5_zero_filled_all"](spark, small).collect()} == slots
