@@ -183,7 +183,7 @@ def test_probabilities(spark, sf):
     return out.withColumn("significant", T.significant("p"))
 
 
-# Graphs: parts that stand in one order at least twice together.
+# Graphs: parts that stand in one order together. edges() and sparse_edges() keep the part that the SQL names, all_edges() is the whole.
 
 EDGES = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst, n AS weight FROM pairs WHERE n >= 2 OR (lo * 31 + hi) % 97 = 0), bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
 
