@@ -1,30 +1,17 @@
-"""Connected components as DataFrame joins, for any number of edges."""
+"""Connected components of links between documents, for any number of links."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from ..operators import graph
 
 
-def components(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (a, b) reaches.
 
-    Each round a node takes the smallest root among its own and its neighbours', then its root's root, so that chains
-    shorten by half or more a round. Both sides of each join are shuffled anew from a checkpoint, so Spark can split a
-    node of many links. No edges: no rows. Loops and repeated edges change nothing.
+    No edges: no rows. Loops, repeated edges and edges with a null end change nothing. See graph.components for the rounds.
     """
-    both = checkpointed(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).where("node is not null and to is not null and node <> to").distinct())
-    roots = checkpointed(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("root")))
-    for _ in range(max_rounds):
-        near = both.join(roots.select(F.col("node").alias("to"), F.col("root").alias("seen")), "to").groupBy("node").agg(F.min("seen").alias("seen"))
-        lower = roots.join(near, "node", "left").select("node", "root", F.least("root", "seen").alias("next"))
-        lower = checkpointed(lower)
-        up = lower.select(F.col("node").alias("next"), F.col("next").alias("above"))
-        new = checkpointed(lower.join(up, "next", "left").select("node", F.col("root").alias("was"), F.least("next", "above").alias("root")))
-        moved = new.where("root <> was").limit(1).count()
-        roots = new.select("node", "root")
-        if not moved:
-            return roots
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    known = edges.where("a is not null and b is not null").select(F.lit(0).alias("graph"), F.col("a").alias("src"), F.col("b").alias("dst"))
+    return graph.components(known).select("node", F.col("component").alias("root"))

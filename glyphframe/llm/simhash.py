@@ -9,25 +9,27 @@ fingerprint itself and those one bit away among the bits outside the key: two fi
 if such lists meet, and no more than 33 can meet in one place. Each meeting gives a star of links, whose distance is
 verified. Work is in proportion to the rows, whatever the size of a group.
 
-similar_groups() is for a similarity of sets of shingles instead (0.8 by default), and exact too. With the hashes of each
-set in one order, two sets that similar share one of the first n - ceil(0.8 n) + 1 of each, so documents meet by those.
-Each meeting is verified by the sets. First a document is tried with one other of each key, which brings large groups
-together in few links; then all pairs that share a key and are in no common group yet are.
+similar_groups() is for a similarity of sets of shingles instead (0.8 by default). At that similarity 64-bit fingerprints
+differ in 10 bits on average, more than blocks can promise to find, so the blocks' pairs (those of 2 bits) are only the
+first: they are verified by the sets, and an exact way finds the rest. With the hashes of each set in one order, two sets
+that similar share one of the first n - ceil(0.8 n) + 1 of each, so documents meet by those. The order puts hashes that few
+texts hold first, so passages that many texts share rarely bring them together. Pairs in a common group are left out, and
+sizes, places and sketches rule out most others before a pair is verified by its sets.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, texts
+from .common import checkpointed, free_name, texts, written
 from .components import components
 
 #: Odd multipliers that derive further 64-bit hashes from one; the first leaves it as it is.
@@ -36,6 +38,8 @@ MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64
 SLACK = 1e-9
 #: Longs of a set's sketch: a bit is the parity of how many hashes fall on it, so sets differ in at least as many hashes as sketches in bits.
 SKETCH = 8
+#: Shingles that are known to be common, at most: 16 bytes each on the driver and in each worker.
+COMMON = 1 << 19
 
 
 def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -55,8 +59,13 @@ def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.
 
 def fingerprint(text: bytes, words: int, longs: int = 1) -> np.ndarray:
     """64 * longs bits as int64: a bit is 1 if more than half the shingles' hashes have it. No words: zero."""
+    return majority(shingle_hashes(text, words), longs)
+
+
+def majority(hashes: Iterable[np.ndarray], longs: int = 1) -> np.ndarray:
+    """The bits that more than half the hashes have, as int64."""
     total, n = np.zeros(64 * longs, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         n += len(h)
         if longs > 1:
             h = h[:, None] * np.array(MIX[:longs], np.uint64)
@@ -131,20 +140,76 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64) if found else np.empty(0, np.int64)
 
 
-def _heads(words: int, similarity: float):
-    """(doc, digest, n, head, sketch) of (doc, text): a digest of the set, its size, and the first of it that any set so similar must meet."""
+def _frequent(words: int):
+    """(hash, n): shingles that many of a task's texts hold; a bounded number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for i in range(0, len(batch), 1000):
+                found = [shingle_set(x, words) for x in texts(batch.slice(i, 1000).column(1))]
+                one, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
+                one, n = one[n > 2], n[n > 2]
+                hashes, at = np.unique(np.concatenate((hashes, one)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), len(hashes)).astype(np.int64)
+                if len(hashes) > COMMON:
+                    top = np.argpartition(-counts, COMMON // 2)[: COMMON // 2]
+                    hashes, counts = hashes[top], counts[top]
+                    order = np.argsort(hashes)
+                    hashes, counts = hashes[order], counts[order]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(counts)], ["hash", "n"])
+
+    return run
+
+
+def common_shingles(keyed: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of at most COMMON shingles that many texts hold, in rising order, and about how many do. It shapes the work only."""
+    found = keyed.mapInArrow(_frequent(words), "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
+    hashes, n = found.column("hash").to_numpy(), found.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def rare_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The hashes by how many texts are known to hold them, then by themselves: one order for all sets."""
+    known, n = common
+    at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+    often = np.where(known[at] == hashes, n[at], 0) if len(known) else np.zeros(len(hashes), np.int64)
+    return hashes[np.lexsort((hashes, often))]
+
+
+def _heads(words: int, similarity: float, common):
+    """(doc, digest, n, fp, sketch, head) of (doc, text): a digest of the set, its size, its fingerprint and sketch, and the first of it that any set so similar must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
                 part = batch.slice(i, 1000)
-                sets = [shingle_set(x, words) for x in texts(part.column(1))]
-                heads = [x[: len(x) - math.ceil(similarity * len(x) - SLACK) + 1] for x in sets]
+                many = texts(part.column(1))
+                sets = [shingle_set(x, words) for x in many]
+                heads = [rare_first(x, common.value)[: len(x) - math.ceil(similarity * len(x) - SLACK) + 1] for x in sets]
                 digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+                prints = [majority([x.view(np.uint64)], 1)[0] for x in sets]
                 ends = np.cumsum([0, *map(len, heads)]).astype(np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.empty(0, np.int64)))
                 odd = [np.packbits((np.bincount(x & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist() for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(x) for x in sets], pa.int32()), column, pa.array(odd, pa.list_(pa.int64()))], ["doc", "digest", "n", "head", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), digests, pa.array([len(x) for x in sets], pa.int32()), pa.array(prints, pa.int64()), pa.array(odd, pa.list_(pa.int64())), column], ["doc", "digest", "n", "fp", "sketch", "head"])
+
+    return run
+
+
+def _shared_rows(slots: int, bits):
+    """(key, pos, node, n) of (node, n, head) for the keys whose slot is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = batch.column(2)
+            keys, sizes = head.flatten().to_numpy(), np.diff(head.offsets.to_numpy())
+            slot = (keys >> 7) & ((1 << slots) - 1)
+            at = np.flatnonzero((bits.value[slot >> 6] >> (slot & 63)) & 1)
+            row = np.repeat(np.arange(len(batch)), sizes)[at]
+            pos = at - np.concatenate(([0], np.cumsum(sizes)))[row]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(pos.astype(np.int32)), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "pos", "node", "n"])
 
     return run
 
@@ -180,58 +245,78 @@ def _similar(similarity: float):
     return run
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, slots: int = 23) -> DataFrame:
-    """The pairs (a, b) of documents of keyed (doc, text) whose sets of shingles are that similar."""
-    # Sets are made again for the documents that pairs name; a bit map of fixed size spares the others, and the joins decide.
-    slot = F.col("node").bitwiseAND(F.lit((1 << slots) - 1))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    found = named.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(node & 63 as int))")).alias("bits")).toArrow()
+def bit_map(hits: DataFrame, slot: Column, slots: int) -> np.ndarray:
+    """1 << slots bits, of which those at the slots of hits are set. It spares rows a shuffle; joins decide."""
+    found = hits.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (slots - 6), np.int64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return bits
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, slots: int = 23) -> DataFrame:
+    """The pairs (a, b) of documents of keyed (doc, text) whose sets of shingles are that similar."""
+    # Sets are made again for the documents that pairs name.
+    bits = bit_map(pairs.select(F.explode(F.array("a", "b")).alias("node")), F.col("node").bitwiseAND(F.lit((1 << slots) - 1)), slots)
     sets = keyed.mapInArrow(_wanted_sets(words, slots, keyed.sparkSession.sparkContext.broadcast(bits)), "node bigint, hashes array<bigint>")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
     return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, rounds: int = 1) -> DataFrame:
+def sketch_fits(x: str, y: str, similarity: float) -> Column:
+    """Whether sketches allow the sets of the structs x and y to be that similar: no similar pair fails."""
+    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+    return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + SLACK
+
+
+def shared_keys(reps: DataFrame, slots: int = 27) -> DataFrame:
+    """(key, pos, node, n) of those first hashes of reps (node, n, head) that more than one row has."""
+    twice = reps.select(F.explode("head").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
+    twice = checkpointed(twice)
+    bits = reps.sparkSession.sparkContext.broadcast(bit_map(twice, F.shiftright("key", 7).bitwiseAND(F.lit((1 << slots) - 1)), slots))
+    rows = reps.select("node", "n", "head").mapInArrow(_shared_rows(slots, bits), "key bigint, pos int, node bigint, n int")
+    return checkpointed(rows.join(twice, "key"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc, root): of each group of near-duplicates of more than one id, the ids and the smallest of them.
 
     Two documents are near if the Jaccard similarity of their sets of shingles of so many words is at least that. All such
     pairs count, and groups are what they connect. Texts without words are all alike. Rows of null ids take no part.
-    rounds changes the work only, not the groups.
     """
     keyed = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc is not null")
-    heads = checkpointed(keyed.mapInArrow(_heads(words, similarity), "doc bigint, digest binary, n int, head array<bigint>, sketch array<bigint>"))
-    classes = checkpointed(heads.groupBy("digest").agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("sketch").alias("sketch")))
-    copies = heads.select("doc", "digest").join(classes.select("digest", "node"), "digest").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpointed(copies)
-    rows = classes.select("node", "n", F.posexplode("head").alias("pos", "key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    rows = checkpointed(rows.join(shared, "key"))
-    tried = None
-    for r in range(rounds + 1):
-        roots = components(links)
-        placed = rows.join(roots, "node", "left").select("key", "pos", "node", "n", F.coalesce("root", "node").alias("root"))
-        # Keys whose rows are all of one group have nothing left to link.
-        mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("pos", "node", "n", "root"), F.xxhash64("node", F.lit(r))).alias("y")).where("lo < hi").select("key", "y")
-        if r < rounds:  # each with one of the key, so that large groups come together in few links
-            met = placed.select("key", F.struct("pos", "node", "n", "root").alias("x")).join(mixed, "key")
-        else:  # whatever is still apart, all with all
-            bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-            left = checkpointed(placed.join(mixed.select("key"), "key").join(classes.select("node", *bits), "node").select("key", F.struct("pos", "node", "n", "root", *[f"s{i}" for i in range(SKETCH)]).alias("x")))
-            met = left.join(left.withColumnRenamed("x", "y"), "key").where("x.node < y.node")
-        small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
-        # The first hash that two sets share bounds what they share.
-        most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-        near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK)
-        if r == rounds:
-            apart = sum((F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}"))) for i in range(SKETCH)), F.lit(0))
-            near &= apart <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + SLACK
-        pairs = met.where((F.col("x.root") != F.col("y.root")) & near).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-        pairs = checkpointed(pairs.join(tried, ["a", "b"], "left_anti") if tried is not None else pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = checkpointed(links.union(verified(pairs, keyed, words, similarity)))
+    common = keyed.sparkSession.sparkContext.broadcast(common_shingles(keyed, words))
+    heads = written(keyed.mapInArrow(_heads(words, similarity, common), "doc bigint, digest binary, n int, fp bigint, sketch array<bigint>, head array<bigint>"))
+    # Equal sets are one class from here on; its smallest id stands for it.
+    classes = checkpointed(heads.groupBy("digest").agg(F.min("doc").alias("node")))
+    copies = heads.select("doc", "digest").join(classes, "digest").where("doc <> node").select(F.col("doc").alias("a"), F.col("node").alias("b")).distinct()
+    reps = heads.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("doc") == F.col("node")), "left_semi").withColumnRenamed("doc", "node")
+    rows = shared_keys(reps)
+    sketches = reps.select("node", F.struct("n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("of"))
+    # Blocks of fingerprints propose the closest pairs. Besides, each document is tried with the one that it shares most
+    # first hashes with, of one for each hash. Both only bring groups together in few links: the last step leaves out no pair.
+    prints = checkpointed(reps.groupBy("fp").agg(F.min("node").alias("node")))
+    proposed = close_pairs(prints).union(reps.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b")))
+    hubs = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+    tried = rows.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = tried.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+    few = proposed.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    few = few.join(sketches.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+    few = checkpointed(few.where(sketch_fits("x", "y", similarity)).select("a", "b").distinct())
+    links = checkpointed(copies.union(verified(few, keyed, words, similarity)))
+    # What shares a first hash and is in no common group yet: all with all.
+    placed = rows.join(components(links), "node", "left").select("key", "pos", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
+    left = checkpointed(placed.join(mixed, "key").join(reps.select("node", *bits), "node").select("key", F.struct("pos", "node", "n", "root", *[f"s{i}" for i in range(SKETCH)]).alias("x")))
+    met = left.join(left.withColumnRenamed("x", "y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
+    small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    # The first hash that two sets share bounds what they share.
+    most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK) & sketch_fits("x", "y", similarity)
+    pairs = met.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = checkpointed(pairs.join(few, ["a", "b"], "left_anti"))
+    links = links.union(verified(pairs, keyed, words, similarity))
     return components(links).where("node <> root").select(F.col("node").alias("doc"), "root")
 
 
