@@ -1,7 +1,7 @@
 """Line dedup: lines that many documents share stay in one document only.
 
 Lines are hashed to 128 bits where the text is read, so that only hashes and ids are shuffled for the counts. The counts
-are pre-aggregated before the shuffle; the join that finds the documents of a frequent line meets a table of one row a
+are of distinct documents and pre-aggregated before the shuffle; the join that finds the documents of a frequent line meets a table of one row a
 line, so Spark can split a hot line over tasks. Texts move once, to meet what their document loses.
 """
 
@@ -65,14 +65,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A line's key is the line without ASCII white space at its ends and with A-Z in lower case. Keys of min_chars code
     points or more that min_docs documents hold lose their lines in all documents but the one with the largest id.
 
-    Null or empty text: one empty line. Each row counts as a document: rows that repeat an id each count, and each of
-    them keeps its lines if the id is the largest. A null id counts as a document and is never the largest, so it keeps a
-    shared line only if all the line's documents have null ids. Ties cannot occur otherwise. Input columns named like an
-    output give way to it.
+    Null or empty text: one empty line. Rows that repeat an id are one document: they count once, and each of them keeps its
+    lines if the id is the largest. All null ids are one document too, which is never the largest. Input columns named
+    like an output give way to it. No rows give no rows.
     """
     rows = packed(docs)
     keyed = rows.select(F.col("row").getField(id_col).cast("bigint").alias("doc"), F.col("row").getField(text_col).cast("string").alias("text")).mapInArrow(_keys(min_chars), "doc bigint, key binary")
-    shared = checkpointed(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
+    # One row of a document and line first: rows that repeat an id are one document.
+    shared = checkpointed(keyed.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("keeper")).where(F.col("n") >= min_docs).select("key", "keeper"))
     lost = keyed.join(shared, "key").where(~F.col("doc").eqNullSafe(F.col("keeper"))).groupBy("doc").agg(F.collect_set("key").alias("lost"))
     met = rows.join(lost, F.col("row").getField(id_col).cast("bigint").eqNullSafe(F.col("doc")), "left").select("row", "lost")
     out = T.StructType([met.schema["row"], *schema("kept_text string, n_lines bigint, n_dropped bigint, kept_sha256 string").fields])

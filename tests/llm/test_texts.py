@@ -40,17 +40,17 @@ def split_words(text):
 
 
 def lines_by_force(rows):
-    held, top = defaultdict(int), {}
+    held, top = defaultdict(set), {}
     key = lambda x: x.strip(SPACE).translate(LOWER)
     for doc, text in rows:
         for k in {key(x) for x in (text or "").split("\n")}:
-            held[k] += 1
+            held[k].add(doc)
             if doc is not None:
                 top[k] = max(top.get(k, doc), doc)
     out = []
     for doc, text in rows:
         lines = (text or "").split("\n")
-        kept = [x for x in lines if not (len(key(x)) >= 20 and held[key(x)] >= 3 and top.get(key(x)) != doc)]
+        kept = [x for x in lines if not (len(key(x)) >= 20 and len(held[key(x)]) >= 3 and top.get(key(x)) != doc)]
         out.append((doc, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return Counter(out)
 
@@ -59,6 +59,9 @@ def test_line_dedup(spark, small):
     for docs in (spark.read.parquet(f"{small}/documents.parquet"), odd_docs(spark)):
         got = Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.line_dedup(docs).collect())
         assert got == lines_by_force([(r.doc_id, r.text) for r in docs.collect()])
+    line = "a line of more than twenty characters"
+    twice = line_dedup.line_dedup(spark.createDataFrame([(1, line), (1, line), (2, line)], "doc_id long, text string"))
+    assert [r.n_dropped for r in twice.collect()] == [0, 0, 0]  # two documents only
     out = line_dedup.line_dedup(odd_docs(spark))
     assert set(odd_docs(spark).columns) < set(out.columns) and line_dedup.line_dedup(odd_docs(spark).limit(0)).count() == 0
 
