@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def summary(rows: DataFrame, metrics: list[str]) -> DataFrame:
     """min, max, mean and population deviation of each metric, in one pass: one row a metric."""
@@ -58,19 +60,50 @@ def mean_share(rows: DataFrame, entity: str, label: str, n: str) -> DataFrame:
 
 
 def box_plot(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Exact quartiles and whiskers: the farthest values within 1.5 interquartile ranges."""
-    q = rows.groupBy(group).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q"))
-    q = q.select(group, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    """Exact quartiles and whiskers: the farthest values within 1.5 interquartile ranges. Nulls don't count.
+
+    Values are counted, and their places in the order come from running sums over range partitions, so no task holds a group.
+    """
+    at = places(rows.where(F.col(value).isNotNull()), value, [group])
+    n = at.groupBy(F.col(group).alias("of_")).agg(F.sum("t").alias("n_"))
+    met = at.join(n, F.col(group).eqNullSafe(F.col("of_")))
+    holds = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("t")), F.col(value).cast("double")))
+    parts = []
+    for name, share in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        place = (F.col("n_") - 1) * share
+        low, rest = holds(F.floor(place)), F.max(place - F.floor(place))
+        parts.append((low + rest * (holds(F.ceil(place)) - low)).alias(name))
+    q = met.groupBy(group).agg(*parts)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = rows.select(group, value).join(q, group).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = at.select(F.col(group), F.col(value)).join(q.withColumnRenamed(group, "of_"), F.col(group).eqNullSafe(F.col("of_"))).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(group).agg(*[F.first(x).alias(x) for x in ("q1", "median", "q3")], F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def places(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """(group, value, t, before): how often each value stands in its group, and how many smaller ones stand there.
+
+    Different values are range-partitioned by (group, value). What stands in earlier partitions comes from one row a group
+    and partition, so running sums stay within partitions, however large a group is.
+    """
+    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("t"))
+    dealt = written(counts.repartitionByRange(*group, value).withColumn("part_", F.spark_partition_id()))
+    earlier = Window.partitionBy(*(group or [F.lit(1)])).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*group, "part_").agg(F.sum("t").alias("s_")).withColumn("from_", F.coalesce(F.sum("s_").over(earlier), F.lit(0)))
+    sums = sums.select(*[F.col(g).alias(f"{g}_of") for g in group], F.col("part_").alias("p_"), "from_")
+    same = F.col("part_") == F.col("p_")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_of"))
+    along = Window.partitionBy(*group, "part_").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(sums, same).select(*group, value, "t", (F.col("from_") + F.coalesce(F.sum("t").over(along), F.lit(0))).alias("before"))
+
+
 def cooccurrence(rows: DataFrame, basket: str, item: str) -> DataFrame:
-    """(lo, hi, n): in how many baskets each unordered pair of different items stands. Pairs are formed within one basket's list."""
-    lists = rows.groupBy(basket).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    pairs = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("lo"), b.alias("hi")))))
-    return lists.where(F.size("items") > 1).select(F.explode(pairs).alias("p")).groupBy("p.lo", "p.hi").agg(F.count(F.lit(1)).alias("n"))
+    """(lo, hi, n): in how many baskets each unordered pair of different items stands.
+
+    A basket's items meet in a join with a shuffle on both sides, so a basket of very many items can be split over tasks.
+    """
+    one = rows.select(F.col(basket).alias("basket"), F.col(item).alias("lo")).where("basket is not null and lo is not null").distinct()
+    return one.join(one.select("basket", F.col("lo").alias("hi")), "basket").where("lo < hi").groupBy("lo", "hi").agg(F.count(F.lit(1)).alias("n"))
 
 
 def participation(pairs: DataFrame) -> DataFrame:
@@ -79,11 +112,16 @@ def participation(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("item").agg(F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("total"))
 
 
-def symmetric(pairs: DataFrame) -> DataFrame:
-    """(a, b, n) for all ordered pairs of items that take part, zero where they don't meet. For small item sets."""
+def symmetric(pairs: DataFrame, most: int = 20_000) -> DataFrame:
+    """(a, b, n) for all ordered pairs of items that take part, zero where they don't meet.
+
+    The matrix has a row for each two items, so more than most items are refused.
+    """
     both = pairs.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "n").union(pairs.select("hi", "lo", "n"))
     items = both.select("a").distinct()
-    grid = items.crossJoin(items.select(F.col("a").alias("b")))
+    if items.limit(most + 1).count() > most:
+        raise ValueError(f"a matrix of more than {most} items")
+    grid = items.crossJoin(F.broadcast(items.select(F.col("a").alias("b"))))  # at most `most` rows
     return grid.join(both, ["a", "b"], "left").select("a", "b", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -65,10 +65,18 @@ def range_bucket(rows: DataFrame, value: str, edges: list[tuple[float, float, in
 
 
 def range_join(points: DataFrame, value: str, ranges: DataFrame, lo: str, hi: str, width: float) -> DataFrame:
-    """points with each range [lo, hi) that holds the value: an equi-join on buckets of so much width, then the exact test."""
-    p = points.withColumn("bucket_", F.floor(F.col(value) / width))
-    r = ranges.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))))
-    return p.join(r, "bucket_").where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("bucket_")
+    """points with each range [lo, hi) that holds the value: an equi-join on buckets, then the exact test.
+
+    A range uses buckets of width, doubled until two or three of them hold it, so that wide ranges stay a few rows; a point
+    looks into one bucket of each size that the ranges use, 64 at most. Empty ranges hold nothing.
+    """
+    wide = F.greatest(F.lit(0), F.least(F.lit(63), F.ceil(F.log2((F.col(hi) - F.col(lo)) / width)))).cast("int")
+    r = ranges.where(F.col(hi) > F.col(lo)).withColumn("level_", wide)
+    levels = sorted(x.level_ for x in r.select("level_").distinct().collect())  # at most 64
+    size = lambda: F.lit(width) * F.pow(F.lit(2.0), F.col("level_"))
+    r = r.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(lo) / size()), F.floor(F.col(hi) / size()))))
+    p = points.withColumn("level_", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("bucket_", F.floor(F.col(value) / size()))
+    return p.join(r, ["level_", "bucket_"]).where((F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi))).drop("level_", "bucket_")
 
 
 def top_per_group(rows: DataFrame, group: list[str], order: list[Column], k: int, out: str = "rank") -> DataFrame:

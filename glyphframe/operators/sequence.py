@@ -92,13 +92,16 @@ def quadratic_weights(n: int, at: int) -> list[float]:
 
 
 def savitzky_golay(rows: DataFrame, pos: str, value: str) -> DataFrame:
-    """smooth: window 11, order 2. The ends take the quadratic of the first or last window; fewer than 11 values stay as they are."""
-    w, all_ = over(pos), Window.partitionBy(F.lit(1))
-    at, n = F.row_number().over(w), F.count(F.lit(1)).over(all_)
-    values = F.collect_list(F.struct(pos, value)).over(all_)
-    place = rows.select("*", at.alias("at_"), n.alias("n_"), F.transform(F.array_sort(values), lambda s: s[value].cast("double")).alias("v_"))
-    dot = lambda start, weights: sum((F.get("v_", start + i) * float(c) for i, c in enumerate(weights)), F.lit(0.0))
-    smooth = dot(F.col("at_") - 6, [c / 429 for c in SMOOTH])
+    """smooth: window 11, order 2. The ends take the quadratic of the first or last window; fewer than 11 values stay as they are.
+
+    Each row holds the ten values before and after it, whatever the length of the series.
+    """
+    w = over(pos)
+    at, n = F.row_number().over(w), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    near = F.array(*[F.lag(F.col(value).cast("double"), -i).over(w) for i in range(-10, 11)])
+    place = rows.select("*", at.alias("at_"), n.alias("n_"), near.alias("v_"))
+    dot = lambda start, weights: sum((F.col("v_")[10 + start + i] * float(c) for i, c in enumerate(weights)), F.lit(0.0))
+    smooth = dot(-5, [c / 429 for c in SMOOTH])
     for k in range(5):
-        smooth = F.when(F.col("at_") == k + 1, dot(F.lit(0), quadratic_weights(11, k))).when(F.col("at_") == F.col("n_") - k, dot(F.col("n_") - 11, quadratic_weights(11, 10 - k))).otherwise(smooth)
+        smooth = F.when(F.col("at_") == k + 1, dot(-k, quadratic_weights(11, k))).when(F.col("at_") == F.col("n_") - k, dot(k - 10, quadratic_weights(11, 10 - k))).otherwise(smooth)
     return place.withColumn("smooth", F.when(F.col("n_") < 11, F.col(value).cast("double")).otherwise(smooth)).drop("at_", "n_", "v_")

@@ -1,17 +1,19 @@
 """Statistical tests as DataFrames: statistics by SQL aggregates and windows, probabilities from one-row results.
 
-Ranks need the order of all values of a test, so rank tests are for columns that one partition can order; features are
-tested together by giving a feature column, over which the windows are partitioned.
+Ranks come from counts of the different values and running sums over range partitions (aggregates.places), so no task
+orders all values of a test; features are tested together by giving a feature column. Kendall's tau compares all pairs
+and is for short series.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions import probability as P
+from .aggregates import places
 from .sequence import guarded_corr
 
 
@@ -30,9 +32,18 @@ def _normal_p(z: pd.Series) -> pd.Series:
     return pd.Series([P.normal_p(None if pd.isna(a) else a) for a in z], dtype="float64")
 
 
-def average_rank(value: str, group: list[str]) -> Column:
-    """Rank from 1; equal values share the mean of their ranks."""
-    return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*group, value)) - 1) / 2.0
+def average_ranks(rows: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """(group, value, t, rank): ranks from 1 within the group; equal values, of which there are t, share the mean of their ranks."""
+    return places(rows, value, group).select(*group, value, "t", (F.col("before") + (F.col("t") + 1) / 2.0).alias("rank"))
+
+
+def ranked(rows: DataFrame, value: str, group: list[str], out: str) -> DataFrame:
+    """rows with the average rank of the value in its group."""
+    ranks = average_ranks(rows, value, group).select(*[F.col(g).alias(f"{g}_of") for g in group], F.col(value).alias("value_"), F.col("rank").alias(out))
+    same = F.col(value) == F.col("value_")
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"{g}_of"))
+    return rows.join(ranks, same).drop("value_", *[f"{g}_of" for g in group])
 
 
 def significant(p: str, level: float = 0.05) -> Column:
@@ -47,11 +58,11 @@ def pearson(rows: DataFrame, x: str, y: str, group: list[str] | None = None, wit
 
 
 def spearman(rows: DataFrame, x: str, y: str, group: list[str] | None = None, with_p: bool = True) -> DataFrame:
+    """(group, n, rho, p): over rows with both values; equal values share the mean of their ranks."""
     group = group or []
-    keys = group or ["one_"]
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("one_", F.lit(1))
-    ranked = full.withColumn("x_", average_rank(x, keys)).withColumn("y_", average_rank(y, keys))
-    return pearson(ranked, "x_", "y_", group, with_p).withColumnRenamed("r", "rho")
+    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).alias("x_"), F.col(y).alias("y_"))
+    both = ranked(ranked(full, "x_", group, "rx_"), "y_", group, "ry_")
+    return pearson(both, "rx_", "ry_", group, with_p).withColumnRenamed("r", "rho")
 
 
 def kendall(rows: DataFrame, x: str, y: str, group: list[str] | None = None, with_p: bool = True, least: int = 2) -> DataFrame:
@@ -82,11 +93,14 @@ def kendall(rows: DataFrame, x: str, y: str, group: list[str] | None = None, wit
 
 def kruskal(rows: DataFrame, group: str, value: str, least: int = 2, with_p: bool = True) -> DataFrame:
     """One row (groups, n, h, p): tie-corrected H over groups of at least so many values."""
-    full = rows.where(F.col(value).isNotNull()).withColumn("size_", F.count(F.lit(1)).over(Window.partitionBy(group))).where(F.col("size_") >= least).withColumn("one_", F.lit(1))
-    ranked = full.select(group, value, average_rank(value, ["one_"]).alias("r"))
-    by = ranked.groupBy(group).agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("m")).agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
+    full = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g_"), F.col(value).alias("v_"))
+    sizes = full.groupBy("g_").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= least).withColumnRenamed("g_", "of_")
+    cells = full.join(sizes.select("of_"), F.col("g_").eqNullSafe(F.col("of_"))).groupBy("g_", "v_").agg(F.count(F.lit(1)).alias("c"))
+    ranks = average_ranks(full.join(sizes.select("of_"), F.col("g_").eqNullSafe(F.col("of_"))).select("v_"), "v_", [])
+    by = cells.join(ranks, "v_").groupBy("g_").agg(F.sum(F.col("c") * F.col("rank")).alias("s"), F.sum("c").alias("m"))
+    by = by.agg(F.count(F.lit(1)).alias("groups"), F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("q"))
     t = F.col("t").cast("double")
-    ties = ranked.groupBy(value).agg(F.count(F.lit(1)).alias("t")).agg(F.sum(t * t * t - t).alias("ties"))
+    ties = ranks.agg(F.sum(t * t * t - t).alias("ties"))
     n = F.col("n").cast("double")
     h = F.try_divide(12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1), 1 - F.col("ties") / (n * n * n - n))
     out = by.crossJoin(ties).select("groups", "n", h.alias("h"))  # one row each
@@ -95,11 +109,12 @@ def kruskal(rows: DataFrame, group: str, value: str, least: int = 2, with_p: boo
 
 def mann_whitney(rows: DataFrame, group: str, value: str, a: str, b: str, with_p: bool = True) -> DataFrame:
     """One row (n1, n2, u, z, p): two-sided, normal approximation with tie correction and continuity. No rows of a group: p = 1."""
-    full = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).withColumn("one_", F.lit(1))
-    ranked = full.select((F.col(group) == a).alias("first"), value, average_rank(value, ["one_"]).alias("r"))
-    by = ranked.agg(F.count_if("first").cast("double").alias("n1"), F.count_if(~F.col("first")).cast("double").alias("n2"), F.sum(F.when(F.col("first"), F.col("r"))).alias("r1"))
+    full = rows.where(F.col(group).isin(a, b) & F.col(value).isNotNull()).select((F.col(group) == a).alias("first"), F.col(value).alias("v_"))
+    ranks = average_ranks(full.select("v_"), "v_", [])
+    cells = full.groupBy("v_").agg(F.count_if("first").alias("c1"), F.count_if(~F.col("first")).alias("c2"))
+    by = cells.join(ranks, "v_").agg(F.coalesce(F.sum("c1"), F.lit(0)).cast("double").alias("n1"), F.coalesce(F.sum("c2"), F.lit(0)).cast("double").alias("n2"), F.sum(F.col("c1") * F.col("rank")).alias("r1"))
     t = F.col("t").cast("double")
-    ties = ranked.groupBy(value).agg(F.count(F.lit(1)).alias("t")).agg(F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("ties"))
+    ties = ranks.agg(F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     n, u1 = n1 + n2, F.col("r1") - n1 * (n1 + 1) / 2
     s = F.sqrt(n1 * n2 / 12 * (n + 1 - F.coalesce(F.try_divide(F.col("ties"), n * (n - 1)), F.lit(0.0))))

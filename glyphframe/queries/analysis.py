@@ -35,13 +35,8 @@ def closest_pairs_top10(spark, sf):
     return V.closest_pairs(embeddings(spark, sf), "vec_id", "v", 10)
 
 
-@query(f"WITH {RAW} SELECT a.id AS a, b.id AS b, round(list_distance(a.v, b.v), 4) AS d FROM z a JOIN z b ON a.id <> b.id WHERE a.id < 40 AND b.id < 40")
+@query(f"WITH {RAW} SELECT a.id AS a, b.id AS b, round(round(list_distance(a.v, b.v), 9), 4) AS d FROM z a JOIN z b ON a.id <> b.id")
 def pairwise_distances(spark, sf):
-    return V.distances(embeddings(spark, sf).where("vec_id < 40"), "vec_id", "v").withColumn("d", F.round("d", 4))
-
-
-@query()
-def pairwise_distances_all(spark, sf):
     return V.distances(embeddings(spark, sf), "vec_id", "v").withColumn("d", F.round("d", 4))
 
 
@@ -61,14 +56,14 @@ def emb_zscore_cluster_profile(spark, sf):
 
 
 @query("""
-WITH x AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2), d AS (SELECT label, vec_id, round(sqrt(sum(pow(v - m, 2))), 6) AS distance FROM x JOIN c USING (label, i) WHERE i <= 4 GROUP BY 1, 2)
+WITH x AS (SELECT label, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM x GROUP BY 1, 2), d AS (SELECT label, vec_id, round(sqrt(sum(pow(v - m, 2))), 6) AS distance FROM x JOIN c USING (label, i) GROUP BY 1, 2)
 SELECT label, vec_id, distance FROM d QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) = 1
 """)
 def label_representative(spark, sf):
     from ..operators.aggregates import representative
 
-    rows = table(spark, sf, "embeddings").select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(4)])
-    return representative(rows, "label", "vec_id", [f"v{i}" for i in range(4)])
+    rows = table(spark, sf, "embeddings").select("label", "vec_id", *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(64)])
+    return representative(rows, "label", "vec_id", [f"v{i}" for i in range(64)])
 
 
 @query()
@@ -183,15 +178,15 @@ def test_probabilities(spark, sf):
     return out.withColumn("significant", T.significant("p"))
 
 
-# Graphs: parts that stand in one order together. edges() and sparse_edges() keep the part that the SQL names, all_edges() is the whole.
+# Graphs: parts that stand in one order together.
 
-EDGES = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst, n AS weight FROM pairs WHERE n >= 2 OR (lo * 31 + hi) % 97 = 0), bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+EDGES = f"{BASKET}, bi AS (SELECT lo AS src, hi AS dst FROM pairs UNION ALL SELECT hi, lo FROM pairs)"
 
 
 def edges(spark, sf):
     from ..operators.aggregates import cooccurrence
 
-    pairs = cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey").where("n >= 2 or (lo * 31 + hi) % 97 = 0")
+    pairs = cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     return pairs.select(F.lit(0).alias("graph"), F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("n").alias("weight"))
 
 
@@ -200,16 +195,24 @@ def graph_degree(spark, sf):
     return N.metrics(edges(spark, sf)).select("n_nodes", "n_edges", F.round("avg_degree", 6).alias("avg_degree"), "max_degree", F.round("density", 8).alias("density"))
 
 
-SPARSE = f"{BASKET}, e AS (SELECT lo AS src, hi AS dst FROM pairs WHERE (lo * 31 + hi) % 97 = 0), bi AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+COMPONENTS = "cc(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM bi UNION (SELECT u.node, min(v.component) FROM recurring.cc u JOIN bi e ON e.src = u.node JOIN cc v ON v.node = e.dst WHERE v.component < u.component GROUP BY u.node))"
 
 
-def sparse_edges(spark, sf):
-    return edges(spark, sf).where("(src * 31 + dst) % 97 = 0")
+@query(f"WITH RECURSIVE {EDGES}, {COMPONENTS} SELECT node, component FROM cc")
+def graph_components(spark, sf):
+    return N.components(edges(spark, sf)).select("node", "component")
 
 
-@query(f"WITH RECURSIVE {SPARSE}, reach(a, b) AS (SELECT src, src FROM bi UNION SELECT r.a, e.dst FROM reach r JOIN bi e ON e.src = r.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY 1")
-def graph_components(spark, sf):
-    return N.components(sparse_edges(spark, sf)).select("node", "component")
+# Customers next to each other by number who have the same nation, segment and whole thousands of balance: many small components.
+ALIKE = "c AS (SELECT c_custkey AS k, c_nationkey AS n, c_mktsegment AS m, floor(c_acctbal / 1000) AS b FROM customer), o AS (SELECT k, n, m, b, lead(k) OVER (PARTITION BY n, m, b ORDER BY k) AS next FROM c), bi AS (SELECT k AS src, next AS dst FROM o WHERE next - k < 400 UNION ALL SELECT next, k FROM o WHERE next - k < 400)"
+
+
+@query(f"WITH RECURSIVE {ALIKE}, {COMPONENTS} SELECT node, component FROM cc")
+def graph_many_components(spark, sf):
+    from pyspark.sql import Window
+
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("src"), F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment", F.floor(F.col("c_acctbal") / 1000)).orderBy("c_custkey")).alias("dst"))
+    return N.components(c.where("dst - src < 400").select(F.lit(0).alias("graph"), "src", "dst")).select("node", "component")
 
 
 SMALL = "e AS (SELECT DISTINCT n_regionkey AS graph, least(a, b) AS src, greatest(a, b) AS dst FROM (SELECT n_regionkey, n_nationkey AS a, lead(n_nationkey, k.range) OVER (PARTITION BY n_regionkey, k.range ORDER BY n_nationkey) AS b FROM nation, range(1, 3) k) WHERE b IS NOT NULL AND (a + b) % 3 <> 0), bi AS (SELECT graph, src, dst FROM e UNION SELECT graph, dst, src FROM e)"
@@ -240,29 +243,6 @@ def graph_clustering(spark, sf):
     return N.clustering(edges(spark, sf)).select(F.round("clustering", 6).alias("clustering"))
 
 
-def all_edges(spark, sf):
-    """Each two parts that stand in an order together."""
-    from ..operators.aggregates import cooccurrence
-
-    pairs = cooccurrence(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
-    return pairs.select(F.lit(0).alias("graph"), F.col("lo").alias("src"), F.col("hi").alias("dst"), F.col("n").alias("weight"))
-
-
-@query()
-def graph_degree_all(spark, sf):
-    return N.metrics(all_edges(spark, sf)).select("n_nodes", "n_edges", F.round("avg_degree", 6).alias("avg_degree"), "max_degree", F.round("density", 8).alias("density"))
-
-
-@query()
-def graph_components_all(spark, sf):
-    return N.components(all_edges(spark, sf)).select("node", "component")
-
-
-@query()
-def graph_clustering_all(spark, sf):
-    return N.clustering(all_edges(spark, sf)).select(F.round("clustering", 6).alias("clustering"))
-
-
 @query()
 def laplacian_spectrum(spark, sf):
     return N.spectra(region_graphs(spark, sf))

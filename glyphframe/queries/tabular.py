@@ -94,16 +94,10 @@ def price_edge_bucket(spark, sf):
     return R.range_bucket(table(spark, sf, "orders"), "o_totalprice", EDGES).groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT p_partkey, o_orderkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 20 WHERE p_size = 7")
+@query("SELECT p_partkey, o_orderkey FROM orders JOIN part ON o_totalprice >= p_retailprice * 100 AND o_totalprice < p_retailprice * 100 + 20")
 def range_join_prices(spark, sf):
-    ranges = table(spark, sf, "part").where("p_size = 7").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 20).alias("hi"))
-    return R.range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, "lo", "hi", 500.0).select("p_partkey", "o_orderkey")
-
-
-@query()
-def range_join_prices_all(spark, sf):
     ranges = table(spark, sf, "part").select("p_partkey", (F.col("p_retailprice") * 100).alias("lo"), (F.col("p_retailprice") * 100 + 20).alias("hi"))
-    return R.range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, "lo", "hi", 500.0).select("p_partkey", "o_orderkey")
+    return R.range_join(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ranges, "lo", "hi", 20.0).select("p_partkey", "o_orderkey")
 
 
 @query("""
@@ -221,12 +215,12 @@ def item_participation(spark, sf):
 
 
 @query("""
-WITH b AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90), pairs AS (SELECT x.event_type AS lo, y.event_type AS hi, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2),
+WITH b AS (SELECT DISTINCT user_id, event_type FROM events), pairs AS (SELECT x.event_type AS lo, y.event_type AS hi, count(*) AS n FROM b x JOIN b y ON x.user_id = y.user_id AND x.event_type < y.event_type GROUP BY 1, 2),
 s AS (SELECT lo AS a, hi AS b, n FROM pairs UNION ALL SELECT hi, lo, n FROM pairs), i AS (SELECT DISTINCT a FROM s)
 SELECT x.a, y.a AS b, coalesce(n, 0) AS n FROM i x CROSS JOIN i y LEFT JOIN s ON s.a = x.a AND s.b = y.a
 """)
 def cooccurrence_matrix(spark, sf):
-    return A.symmetric(A.cooccurrence(table(spark, sf, "events").where("value > 90"), "user_id", "event_type"))
+    return A.symmetric(A.cooccurrence(table(spark, sf, "events"), "user_id", "event_type"))
 
 
 @query("""
@@ -358,15 +352,8 @@ def nested_limits(spark, sf):
     return n.join(best, "c_nationkey").select(F.col("c_nationkey").alias("nation"), "n", "best").orderBy(F.desc("n"), "nation").limit(10)
 
 
-@query("SELECT g.range::INTEGER AS part, k.range::INTEGER AS slot, coalesce(t.l_quantity, 0) AS quantity FROM range(1, 51) g CROSS JOIN range(1, 6) k LEFT JOIN (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem) t ON t.l_partkey = g.range AND t.r = k.range")
+@query("SELECT p_partkey AS part, k.range::INTEGER AS slot, coalesce(t.l_quantity, 0) AS quantity FROM part CROSS JOIN range(1, 6) k LEFT JOIN (SELECT l_partkey, l_quantity, row_number() OVER (PARTITION BY l_partkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS r FROM lineitem) t ON t.l_partkey = p_partkey AND t.r = k.range")
 def top5_zero_filled(spark, sf):
-    spine = spark.range(1, 51).select(F.col("id").cast("int").alias("part"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("slot"))
-    top = R.top_per_group(table(spark, sf, "lineitem").where("l_partkey between 1 and 50"), ["l_partkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")], 5, "slot")
-    return spine.join(top.select(F.col("l_partkey").cast("int").alias("part"), "slot", F.col("l_quantity").alias("quantity")), ["part", "slot"], "left").select("part", "slot", F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
-
-
-@query()
-def top5_zero_filled_all(spark, sf):
     spine = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("slot"))
     top = R.top_per_group(table(spark, sf, "lineitem"), ["l_partkey"], [F.desc("l_quantity"), F.col("l_orderkey"), F.col("l_linenumber")], 5, "slot")
     return spine.join(top.select(F.col("l_partkey").alias("part"), "slot", F.col("l_quantity").alias("quantity")), ["part", "slot"], "left").select("part", "slot", F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
