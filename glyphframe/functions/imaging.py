@@ -146,7 +146,7 @@ def terminal(mask: np.ndarray, y: int, x: int, reach: int = 15) -> str:
         if c > 0.7 and area > 20:
             return "circle"
     if window.mean() > 0.3:
-        return "filled"
+        return "filled/cross"
     rows, cols = int(window.any(axis=1).sum()), int(window.any(axis=0).sum())
     if rows < 5 and cols > 8:
         return "horizontal_bar"
@@ -259,55 +259,84 @@ def stroke_graph(skeleton: np.ndarray, cap: int = 500) -> tuple[list[tuple[str,
     return nodes, [(a, b, s) for (a, b), s in sorted(edges.items())]
 
 
-def trim_by_margin(mask: np.ndarray, margin: int = 15, retry: int = 8) -> tuple[int, int, int, int] | None:
-    """(y0, y1, x0, x1), ends exclusive, of a cell's drawing without the labels above and below it."""
+def trim_by_margin(mask: np.ndarray, margin: int = 15, retry: int = 8, pad: int = 5) -> tuple[int, int, int, int] | None:
+    """(y0, y1, x0, x1), ends exclusive, of a cell's drawing without the labels above and below it.
+
+    The box of the ink away from the margins is cut at the lowest blank row of its last 20, if 4 to 17 rows lie below that
+    row, and below the first blank row of its rows 4 to 17; then it is padded. As a box's last row and column count the
+    last with ink, which padding makes exclusive ends.
+    """
+    h, w = mask.shape
     for m in (margin, retry):
         inner = mask.copy()
-        inner[:m] = False
-        inner[len(mask) - m :] = False
+        inner[:m] = inner[max(0, h - m) :] = False
         if inner.any():
             break
     else:
         return None
     rows, cols = np.flatnonzero(inner.any(axis=1)), np.flatnonzero(inner.any(axis=0))
-    y0, y1 = max(0, int(rows[0]) - 5), min(len(mask), int(rows[-1]) + 5)
-    x0, x1 = max(0, int(cols[0]) - 5), min(mask.shape[1], int(cols[-1]) + 5)
-    ink = inner[y0:y1, x0:x1].any(axis=1)
-    if y1 - y0 > 30:
-        tail = [k for k in range(max(0, len(ink) - 20), len(ink)) if not ink[k]]
-        if tail and 3 < len(ink) - tail[0] - 1 < 18 and ink[tail[0] + 1 :].any():
-            y1 = y0 + tail[0]
-        head = [k for k in range(min(20, y1 - y0)) if not ink[k]]
-        if head and 3 < head[-1] < 18 and ink[: head[-1]].any():
-            y0 += head[-1] + 1
-    return y0, y1, x0, x1
-
-
-def trim_by_gap(mask: np.ndarray, search: int = 30, blank: int = 3, most: int = 20) -> tuple[int, int, int, int] | None:
-    """As trim_by_margin, but the label above stays; below, a blank run near the bottom with little ink under it is the cut."""
+    top, bottom, left, right = int(rows[0]), int(rows[-1]), int(cols[0]), int(cols[-1])
+    blank = lambda: ~mask[top : bottom + 1, left : right + 1].any(axis=1)
+    if bottom - top > 30:
+        gaps = blank()
+        at = np.flatnonzero(gaps[: len(gaps) - 3])
+        if len(at) and at[-1] > max(len(gaps) - 20, 0) and 3 < len(gaps) - at[-1] - 1 < 18:
+            bottom = top + int(at[-1])
+    if bottom - top > 30:
+        at = np.flatnonzero(blank()[:20])
+        at = at[at > 3]
+        if len(at) and at[0] < 18:
+            top += int(at[0]) + 1
+    return max(0, top - pad), min(h, bottom + pad), max(0, left - pad), min(w, right + pad)
+
+
+def trim_by_gap(mask: np.ndarray, search: int = 30, floor: int = 20, blank: int = 3, most: int = 20, pad: int = 3) -> tuple[int, int, int, int] | None:
+    """As trim_by_margin, but the label above stays; the lowest run of blank rows with fewer than most rows under it is the cut.
+
+    The run lies in the last search rows of the ink and floor or more below its first. One blank row stays below the cut;
+    as last column counts the last with ink, which padding makes an exclusive end.
+    """
+    h, w = mask.shape
     rows = np.flatnonzero(mask.any(axis=1))
     if not len(rows):
         return None
     top, bottom = int(rows[0]), int(rows[-1])
-    ink, run = mask.sum(axis=1), 0
-    for y in range(bottom, max(top, bottom - search), -1):
-        run = run + 1 if ink[y] == 0 else 0
-        if run >= blank and 0 < int((ink[y + run :] > 0).sum()) < most:
-            while y > top and ink[y - 1] == 0:
-                y -= 1
-            bottom = y - 1
+    stop, cut = max(bottom - search, top + floor), bottom + 1
+    empty = np.flatnonzero(~mask[: bottom + 1].any(axis=1))
+    empty = empty[empty >= stop]
+    for run in reversed(np.split(empty, np.flatnonzero(np.diff(empty) > 1) + 1)):
+        if len(run) >= blank and run[-1] > stop and 0 < bottom - run[-1] < most:
+            cut = int(run[0])
             break
-    cols = np.flatnonzero(mask[top : bottom + 1].any(axis=0))
-    return top, bottom + 1, int(cols[0]), int(cols[-1]) + 1
+    cols = np.flatnonzero(mask[top:cut].any(axis=0))
+    if not len(cols):
+        return None
+    return max(0, top - pad), min(h, cut + 1), max(0, int(cols[0]) - pad), min(w, int(cols[-1]) + pad)
+
+
+def boxes_by_dilation(mask: np.ndarray, k: int, rounds: int, least: int) -> list[int]:
+    """How many 8-connected components wider and higher than least there are after 1, 2, ... rounds of thickening."""
+    out = []
+    for _ in range(rounds):
+        mask = dilate(mask, k)
+        labels = label(mask)
+        n = 0
+        for c in range(1, int(labels.max(initial=0)) + 1):
+            ys, xs = np.nonzero(labels == c)
+            n += int(np.ptp(ys) + 1 > least and np.ptp(xs) + 1 > least)
+        out.append(n)
+    return out
 
 
-def draw(strokes: list[tuple[float, float, float, float]], size: int) -> np.ndarray:
-    """Strokes as pixels of a square mask, one pixel wide."""
+def draw(strokes: list[tuple[float, float, float, float, int]], size: int) -> np.ndarray:
+    """Strokes (x1, y1, x2, y2, width) as pixels of a square mask."""
     out = np.zeros((size, size), bool)
-    for x1, y1, x2, y2 in strokes:
+    for x1, y1, x2, y2, width in strokes:
         n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
         t = np.linspace(0, 1, n + 1)
-        xs, ys = np.rint(x1 + t * (x2 - x1)).astype(int), np.rint(y1 + t * (y2 - y1)).astype(int)
-        ok = (xs >= 0) & (xs < size) & (ys >= 0) & (ys < size)
-        out[ys[ok], xs[ok]] = True
+        for d in range(width):
+            xs, ys = np.rint(x1 + t * (x2 - x1)).astype(int), np.rint(y1 + t * (y2 - y1)).astype(int)
+            for dx, dy in {(d, 0), (0, d), (d, d)}:
+                ok = (xs + dx >= 0) & (xs + dx < size) & (ys + dy >= 0) & (ys + dy < size)
+                out[ys[ok] + dy, xs[ok] + dx] = True
     return out

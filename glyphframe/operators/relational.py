@@ -29,6 +29,15 @@ def nested_record(spine: DataFrame, key: str, parts: dict[str, DataFrame]) -> Da
     return reduce(add, parts.items(), spine)
 
 
+def named(rows: DataFrame, number: str, names: dict[int, str], out: str, default: str = "Unknown") -> DataFrame:
+    """rows with the name of a number, such as a cluster's; numbers without a name, and null, get the default.
+
+    The names are few and become part of the plan.
+    """
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.create_map().cast("map<int,string>")
+    return rows.withColumn(out, F.coalesce(F.try_element_at(known, F.col(number).cast("int")), F.lit(default)))
+
+
 def missing(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Keys of expected that found lacks."""
     return expected.select(key).join(found.select(key), key, "left_anti")

@@ -122,6 +122,20 @@ def crops(images: DataFrame, by: str = "gap") -> DataFrame:
     return each_image(images, "y0 int, y1 int, x0 int, x1 int", lambda m: [t] if (t := trim(m > 0)) else [])
 
 
+def dilation_sweep(masks: DataFrame, target: int, k: int = 3, rounds: int = 7, least: int = 0, first: int = 3) -> DataFrame:
+    """(img_id, step, n, chosen): components larger than least after each number of rounds of thickening by k x k.
+
+    The step whose count is nearest to target is chosen: step first of equal ones, else the earliest.
+    """
+
+    def f(m: np.ndarray) -> list[tuple]:
+        n = I.boxes_by_dilation(m > 0, k, rounds, least)
+        best = min(range(rounds), key=lambda i: (abs(n[i] - target), i != first - 1, i))
+        return [(i + 1, n[i], int(i == best)) for i in range(rounds)]
+
+    return each_image(masks, "step int, n int, chosen int", f)
+
+
 def interest_patches(skeletons: DataFrame, sizes: tuple[int, ...] = (28, 36), least: float = 0.03) -> DataFrame:
     """(img_id, size, cx, cy, ink): patches around clusters of junctions and ends that lie inside the image and hold enough ink."""
 

@@ -65,7 +65,7 @@ def spearman(rows: DataFrame, x: str, y: str, group: list[str] | None = None, wi
     return pearson(both, "rx_", "ry_", group, with_p).withColumnRenamed("r", "rho")
 
 
-def kendall(rows: DataFrame, x: str, y: str, group: list[str] | None = None, with_p: bool = True, least: int = 2) -> DataFrame:
+def kendall(rows: DataFrame, x: str, y: str, group: list[str] | None = None, with_p: bool = True, least: int = 2, keep_z: bool = False) -> DataFrame:
     """(group, n, tau, p): tau-b over all pairs of a group's rows, with the tie-corrected normal probability. For short series."""
     group = group or []
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
@@ -88,7 +88,8 @@ def kendall(rows: DataFrame, x: str, y: str, group: list[str] | None = None, wit
     tau = F.try_divide(F.col("s"), F.sqrt((n0 - F.col("n_x")) * (n0 - F.col("n_y"))))
     var = (n * (n - 1) * (2 * n + 5) - F.col("v_x") - F.col("v_y")) / 18 + F.col("n_x") * F.col("n_y") * 2 / (n * (n - 1)) + F.coalesce(F.try_divide(F.col("w_x") * F.col("w_y"), 9 * n * (n - 1) * (n - 2)), F.lit(0.0))
     out = joined.select(*group, "n", tau.alias("tau"), F.try_divide(F.col("s"), F.sqrt(var)).alias("z"))
-    return out.withColumn("p", _normal_p("z")).drop("z") if with_p else out.drop("z")
+    out = out.withColumn("p", _normal_p("z")) if with_p else out
+    return out if keep_z else out.drop("z")
 
 
 def kruskal(rows: DataFrame, group: str, value: str, least: int = 2, with_p: bool = True) -> DataFrame:
@@ -138,6 +139,14 @@ def chi_square(rows: DataFrame, a: str, b: str, with_p: bool = True) -> DataFram
     return out.withColumn("p", _chi2_p("chi2", "dof")) if with_p else out
 
 
+def expected_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, observed, expected): each two labels, with the count that independence would give. Labels are few."""
+    cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
+    ra, cb = cells.groupBy(a).agg(F.sum("o").alias("r")), cells.groupBy(b).agg(F.sum("o").alias("c"))
+    grid = ra.crossJoin(cb).crossJoin(cells.agg(F.sum("o").alias("n"))).join(cells, [a, b], "left")
+    return grid.select(a, b, F.coalesce("o", F.lit(0)).alias("observed"), (F.col("r").cast("double") * F.col("c") / F.col("n")).alias("expected"))
+
+
 def linear_fit(rows: DataFrame, x: str, y: str, with_p: bool = True) -> DataFrame:
     """One row (n, slope, intercept, r, p)."""
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())

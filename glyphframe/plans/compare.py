@@ -51,6 +51,7 @@ def cluster_profile(rows: DataFrame, cluster: DataFrame) -> DataFrame:
 
 def documents(spine: DataFrame, names: DataFrame, parts: dict[str, DataFrame], last: int = 72) -> DataFrame:
     """Nested records: ids to last that have a name, one struct a part, null where it is missing."""
+    # Fixed value: what a record without a name is called.
     known = spine.where(F.col("id") <= last).join(names, "id", "left").withColumn("name", F.coalesce("name", F.concat(F.lit("Sigil "), F.col("id").cast("string"))))
     return relational.nested_record(known, "id", parts)
 

@@ -165,17 +165,46 @@ def linreg(spark, sf):
     return T.linear_fit(orders(spark, sf), "x", "y", with_p=False).select("n", F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r", 6).alias("r"))
 
 
-@query()
+# Probabilities in SQL: Student's density is added up by Simpson's rule; four degrees of chi-square have a closed form.
+STUDENT = """area AS (SELECT test, t, df, 1 - 2 * sum(w * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + x * x / df, -(df + 1) / 2)) AS p
+  FROM (SELECT test, t, df, abs(t) * i.range / 4000 AS x, abs(t) / 4000 / 3 * CASE WHEN i.range IN (0, 4000) THEN 1 WHEN i.range % 2 = 1 THEN 4 ELSE 2 END AS w FROM tests, range(4001) i) GROUP BY ALL)"""
+
+
+@query(f"""
+WITH {DAILY}, {ALL_RANKS.format(where='')}, m AS (SELECT count(*)::DOUBLE AS n, corr(n, value_sum) AS r, corr(pos, value_sum) AS l FROM daily),
+k AS (SELECT corr(a, b) AS rho FROM (SELECT rank() OVER (ORDER BY n) + (count(*) OVER (PARTITION BY n) - 1) / 2 AS a, rank() OVER (ORDER BY value_sum) + (count(*) OVER (PARTITION BY value_sum) - 1) / 2 AS b FROM daily)),
+c AS (SELECT 'pearson' AS test, r AS c, n FROM m UNION ALL SELECT 'linear', l, n FROM m UNION ALL SELECT 'spearman', rho, n FROM k, m),
+tests AS (SELECT test, c * sqrt((n - 2) / (1 - c * c)) AS t, n - 2 AS df FROM c), {STUDENT},
+s AS (SELECT g, sum(r) AS s, count(*) AS m FROM r GROUP BY 1), tie AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM r GROUP BY v)), all_ AS (SELECT count(*)::DOUBLE AS n FROM r),
+h AS (SELECT (12 / (any_value(n) * (any_value(n) + 1)) * sum(s * s / m) - 3 * (any_value(n) + 1)) / (1 - any_value(t) / (pow(any_value(n), 3) - any_value(n))) AS h FROM s, tie, all_)
+SELECT test, round(p, 6) AS p, p < 0.05 AS significant FROM (SELECT test, p FROM area UNION ALL SELECT 'kruskal', exp(-h / 2) * (1 + h / 2) FROM h)
+""")
 def test_probabilities(spark, sf):
     d, e = daily(spark, sf), table(spark, sf, "events").select(F.col("event_type").alias("g"), F.floor("value").alias("v"))
     rows = [
-        T.pearson(d, "n", "value_sum").select(F.lit("pearson").alias("test"), "p"), T.spearman(d, "n", "value_sum").select(F.lit("spearman"), "p"), T.kendall(d, "n", "value_sum").select(F.lit("kendall"), "p"),
+        T.pearson(d, "n", "value_sum").select(F.lit("pearson").alias("test"), "p"), T.spearman(d, "n", "value_sum").select(F.lit("spearman"), "p"),
         T.kruskal(e, "g", "v").select(F.lit("kruskal"), "p"), T.linear_fit(d, "pos", "value_sum").select(F.lit("linear"), "p"),
     ]
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)
-    return out.withColumn("significant", T.significant("p"))
+    return out.withColumn("significant", T.significant("p")).withColumn("p", F.round("p", 6))
+
+
+# Kendall's and Mann and Whitney's probabilities are normal ones; the density is added up in the same way.
+NORMAL = "1 - 2 * (SELECT sum(least(abs(z), 12) / 4000 / 3 * CASE WHEN i.range IN (0, 4000) THEN 1 WHEN i.range % 2 = 1 THEN 4 ELSE 2 END * exp(-pow(least(abs(z), 12) * i.range / 4000, 2) / 2) / sqrt(2 * pi())) FROM range(4001) i)"
+
+
+@query(f"""
+WITH {DAILY}, p AS (SELECT sum(sign(a.n - b.n) * sign(a.value_sum - b.value_sum))::DOUBLE AS s FROM daily a JOIN daily b ON a.pos < b.pos),
+x AS (SELECT sum(t * (t - 1) / 2) AS n, sum(t * (t - 1) * (2 * t + 5)) AS v, sum(t * (t - 1) * (t - 2)) AS w FROM (SELECT count(*)::DOUBLE AS t FROM daily GROUP BY n)),
+y AS (SELECT sum(t * (t - 1) / 2) AS n, sum(t * (t - 1) * (2 * t + 5)) AS v, sum(t * (t - 1) * (t - 2)) AS w FROM (SELECT count(*)::DOUBLE AS t FROM daily GROUP BY value_sum)),
+c AS (SELECT count(*)::DOUBLE AS n FROM daily),
+z AS (SELECT s / sqrt((c.n * (c.n - 1) * (2 * c.n + 5) - x.v - y.v) / 18 + x.n * y.n * 2 / (c.n * (c.n - 1)) + x.w * y.w / (9 * c.n * (c.n - 1) * (c.n - 2))) AS z FROM p, x, y, c)
+SELECT round(z, 5) AS z, round({NORMAL}, 6) AS p FROM z
+""")
+def kendall_p(spark, sf):
+    return T.kendall(daily(spark, sf), "n", "value_sum", keep_z=True).select(F.round("z", 5).alias("z"), F.round("p", 6).alias("p"))
 
 
 # Graphs: parts that stand in one order together.
@@ -279,7 +308,7 @@ def categorical_sample(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", G.categorical(G.hashed_uniform(F.col("o_orderkey")), [("simple", 0.5), ("filled", 0.3), ("circle", 0.2)]).alias("kind"))
 
 
-GRAMMAR = {"angle_probabilities": [0.27, 0.04, 0.05, 0.06, 0.05, 0.05, 0.2, 0.05, 0.05, 0.06, 0.06, 0.06], "terminal_probabilities": {"simple": 0.78, "filled": 0.17, "circle": 0.04, "vertical_bar": 0.01}, "symmetry_probability": 0.11, "hole_probability": 0.53}
+GRAMMAR = {"angle_probabilities": [0.27, 0.04, 0.05, 0.06, 0.05, 0.05, 0.2, 0.05, 0.05, 0.06, 0.06, 0.06], "terminal_probabilities": {"simple": 0.78, "filled/cross": 0.17, "circle": 0.04, "vertical_bar": 0.01}, "symmetry_probability": 0.11, "hole_probability": 0.53}
 
 
 @query()
@@ -289,10 +318,30 @@ def generated_strokes(spark, sf):
 
 @query()
 def generated_comparison(spark, sf):
+    """(metric, kind, n, mean, std) of generated and real drawings: box dimension, junctions, ends and holes."""
     from ..operators import raster as R
+    from ..operators import shapes as P
+
+    def measured(masks, kind):
+        thin = P.skeletons(masks)
+        rows = P.topology(masks).select("img_id", F.col("nested").alias("holes")).join(R.junctions(thin).select("img_id", "junctions", "endpoints"), "img_id").join(R.box_dimension(masks).select("img_id", "dimension"), "img_id")
+        return rows.select(F.lit(kind).alias("kind"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in ("dimension", "junctions", "endpoints", "holes")])).alias("x")).select("kind", "x.*")
 
-    drawn = R.basics(G.rasterise(G.generate(spark, GRAMMAR)).withColumn("px", R.ink(F.col("px")))).select(F.lit("generated").alias("kind"), "ink_ratio")
-    real = R.basics(visual.masks(spark, sf)).select(F.lit("real").alias("kind"), "ink_ratio")
-    return real.union(drawn).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ink_ratio"), 6).alias("mean"))
+    drawn = G.rasterise(G.generate(spark, GRAMMAR)).withColumn("px", R.ink(F.col("px")))
+    both = measured(visual.masks(spark, sf), "real").union(measured(R.opening(drawn, 2), "generated"))
+    return both.groupBy("metric", "kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
 
 
+# Each Laplacian's eigenvalues add up to the sum of degrees, and their squares to the squares of degrees and links.
+@query(f"WITH {SMALL}, d AS (SELECT graph, src, count(*) AS d FROM bi GROUP BY 1, 2) SELECT graph, round(sum(d)::DOUBLE, 2) AS trace, round(sum(d * d + d)::DOUBLE, 1) AS squares FROM d GROUP BY 1")
+def laplacian_trace(spark, sf):
+    v = F.col("eigenvalues")
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, e: s + e)
+    return N.spectra(region_graphs(spark, sf)).select("graph", F.round(total(v), 2).alias("trace"), F.round(total(F.transform(v, lambda e: e * e)), 1).alias("squares"))
+
+
+@query("WITH c AS (SELECT c_mktsegment AS a, o_orderpriority AS b, count(*) AS o FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT a, b, o AS observed, round(sum(o) OVER (PARTITION BY a) * sum(o) OVER (PARTITION BY b) / sum(o) OVER (), 6) AS expected FROM c")
+def chi2_expected(spark, sf):
+    customer = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("a"))
+    joined = table(spark, sf, "orders").select("o_custkey", F.col("o_orderpriority").alias("b")).join(customer, "o_custkey")
+    return T.expected_counts(joined, "a", "b").withColumn("expected", F.round("expected", 6))

@@ -55,6 +55,43 @@ def nested_record_flat(spark, sf):
     return rows.select("id", "name", F.coalesce("r_name", F.lit("Unknown")).alias("region"), F.col("customers.n").alias("customers"), F.col("customers.mean_balance").alias("mean_balance"), F.col("suppliers.n").alias("suppliers"), F.col("customers").isNotNull().alias("has_customers"))
 
 
+# Names of numbered groups.
+GROUP_NAMES = {1: "sparse", 2: "spread", 3: "loops", 5: "mixed"}
+NAMED = "CASE {} WHEN 1 THEN 'sparse' WHEN 2 THEN 'spread' WHEN 3 THEN 'loops' WHEN 5 THEN 'mixed' ELSE 'Unknown' END"
+
+
+@query(f"SELECT vec_id, label, {NAMED.format('label')} AS name FROM embeddings")
+def cluster_names(spark, sf):
+    return R.named(table(spark, sf, "embeddings").select("vec_id", "label"), "label", GROUP_NAMES, "name")
+
+
+@query(f"""
+WITH l AS (SELECT l_partkey AS k, count(*) AS n, max(l_quantity) AS most FROM lineitem GROUP BY 1), r AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+e AS (SELECT vec_id AS k, label FROM embeddings), d AS (SELECT doc_id AS k, lang, n_chars FROM documents), b AS (SELECT doc_id AS k, quality, toxic FROM labels)
+SELECT p_partkey AS id, coalesce(p_name, 'Part ' || p_partkey) AS name, p_size AS size, l.n AS lines, l.most, r.n AS returned, e.label AS cluster, {NAMED.format('e.label')} AS cluster_name, d.lang, d.n_chars, b.quality, b.toxic,
+  (l.k IS NOT NULL)::INT + (r.k IS NOT NULL)::INT + (e.k IS NOT NULL)::INT + (d.k IS NOT NULL)::INT + (b.k IS NOT NULL)::INT + 1 AS parts
+FROM part LEFT JOIN l ON l.k = p_partkey LEFT JOIN r ON r.k = p_partkey LEFT JOIN e ON e.k = p_partkey LEFT JOIN d ON d.k = p_partkey LEFT JOIN b ON b.k = p_partkey
+""")
+def nested_record_six(spark, sf):
+    """Six parts a record, each null where it is missing, with the default name of a missing group."""
+    of = lambda t, key: table(spark, sf, t).withColumnRenamed(key, "id")
+    lines = of("lineitem", "l_partkey")
+    parts = {
+        "text": of("part", "p_partkey").select("id", F.col("p_name").alias("name"), F.col("p_size").alias("size")),
+        "sales": lines.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("l_quantity").alias("most")),
+        "returns": lines.where("l_returnflag = 'R'").groupBy("id").agg(F.count(F.lit(1)).alias("n")),
+        "cluster": of("embeddings", "vec_id").select("id", "label"),
+        "document": of("documents", "doc_id").select("id", "lang", "n_chars"),
+        "labels": of("labels", "doc_id").select("id", "quality", "toxic"),
+    }
+    rows = R.nested_record(of("part", "p_partkey").select("id"), "id", parts).withColumn("label", F.col("cluster.label"))
+    have = sum((F.col(p).isNotNull().cast("int") for p in parts), F.lit(0))
+    return R.named(rows, "label", GROUP_NAMES, "cluster_name").select(
+        "id", F.coalesce("text.name", F.concat(F.lit("Part "), F.col("id").cast("string"))).alias("name"), "text.size", F.col("sales.n").alias("lines"), "sales.most", F.col("returns.n").alias("returned"),
+        F.col("label").alias("cluster"), "cluster_name", "document.lang", "document.n_chars", "labels.quality", "labels.toxic", have.alias("parts"),
+    )
+
+
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
 def missing_ids(spark, sf):
     return R.missing(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")

@@ -230,6 +230,19 @@ def motif_cooccurrence(spark, sf):
     return Q.motif_pairs(Q.best_matches(images(spark, sf), TEMPLATES, 3, 0.9).select("template", F.col("img_id").cast("int").alias("img_id")), sources).orderBy(F.desc("n"), "lo", "hi").limit(20)
 
 
+# After so many rounds a pixel within that many steps, diagonal ones included, is ink.
+@query(f"""
+WITH RECURSIVE {PIXEL}, ink AS (SELECT img_id, y, x FROM pixel WHERE ink = 1), dil AS (SELECT i.img_id, k.range AS step, y.range AS y, x.range AS x FROM ink i, range(1, 4) k, range(8) y, range(8) x WHERE abs(y.range - i.y) <= k.range AND abs(x.range - i.x) <= k.range GROUP BY ALL),
+node AS (SELECT img_id, step, y, x, y * 8 + x AS c FROM dil),
+cc(img_id, step, y, x, c) USING KEY (img_id, step, y, x) AS (SELECT img_id, step, y, x, c FROM node UNION (SELECT u.img_id, u.step, u.y, u.x, min(v.c) FROM recurring.cc u JOIN cc v ON v.img_id = u.img_id AND v.step = u.step AND abs(u.y - v.y) <= 1 AND abs(u.x - v.x) <= 1 WHERE v.c < u.c GROUP BY 1, 2, 3, 4)),
+boxes AS (SELECT img_id, step, c, max(y) - min(y) + 1 AS h, max(x) - min(x) + 1 AS w FROM cc GROUP BY 1, 2, 3),
+counts AS (SELECT i.img_id, k.range AS step, count(b.c) AS n FROM (SELECT DISTINCT img_id FROM pixel) i CROSS JOIN range(1, 4) k LEFT JOIN boxes b ON b.img_id = i.img_id AND b.step = k.range AND h > 1 AND w > 1 GROUP BY 1, 2)
+SELECT img_id, step::INTEGER AS step, n::INTEGER AS n, (row_number() OVER (PARTITION BY img_id ORDER BY abs(n - 2), step <> 2, step) = 1)::INTEGER AS chosen FROM counts
+""")
+def segment_sweep(spark, sf):
+    return P.dilation_sweep(masks(spark, sf), 2, rounds=3, least=1, first=2)
+
+
 # Kernels that SQL cannot express: the tests hold them against drawings of known answers.
 
 

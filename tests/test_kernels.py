@@ -112,14 +112,76 @@ def test_stroke_graph_of_a_plus():
     assert I.stroke_graph(bar())[1] == [(0, 1, 9)]
 
 
+def gap_by_walk(m):
+    """A walk up from the last row with ink, row by row."""
+    h, w = m.shape
+    inked = [y for y in range(h) if m[y].any()]
+    if not inked:
+        return None
+    first, last, cut, y = inked[0], inked[-1], inked[-1] + 1, inked[-1]
+    stop = max(last - 30, first + 20)
+    while y > stop:
+        if m[y].any():
+            y -= 1
+            continue
+        end = y
+        while y > stop and not m[y - 1].any():
+            y -= 1
+        if end - y + 1 >= 3 and 0 < last - end < 20:
+            cut = y
+            break
+        y -= 1
+    xs = [x for x in range(w) if m[first:cut, x].any()]
+    return max(0, first - 3), min(h, cut + 1), max(0, xs[0] - 3), min(w, xs[-1] + 3)
+
+
+def margin_by_walk(m):
+    h, w = m.shape
+    for skip in (15, 8):
+        ys, xs = np.nonzero(m[skip : h - skip])
+        if len(ys):
+            break
+    else:
+        return None
+    top, bottom, left, right = ys.min() + skip, ys.max() + skip, xs.min(), xs.max()
+    if bottom - top > 30:
+        n = bottom - top + 1
+        for k in range(n - 1, max(n - 20, 0), -1):
+            if k < n - 3 and not m[top + k, left : right + 1].any():
+                bottom = top + k if 3 < n - k - 1 < 18 else bottom
+                break
+    if bottom - top > 30:
+        for k in range(4, min(20, bottom - top + 1)):
+            if not m[top + k, left : right + 1].any():
+                top = top + k + 1 if k < 18 else top
+                break
+    return max(0, top - 5), min(h, bottom + 5), max(0, left - 5), min(w, right + 5)
+
+
 def test_crops():
     m = np.zeros((100, 60), bool)
     m[20:60, 10:50] = True
     m[80:86, 20:40] = True
-    assert I.trim_by_gap(m) == (20, 60, 10, 50)
+    assert I.trim_by_gap(m) == (17, 61, 7, 52)
+    rng = np.random.default_rng(3)
+    seen = set()
+    for _ in range(400):
+        m = rng.random((int(rng.integers(33, 110)), 40)) < 0.03
+        for _ in range(int(rng.integers(0, 7))):
+            y = int(rng.integers(0, len(m)))
+            m[y : y + int(rng.integers(1, 6))] = False
+        assert I.trim_by_gap(m) == gap_by_walk(m) and I.trim_by_margin(m) == margin_by_walk(m)
+        seen.add((I.trim_by_gap(m) or (0, 0))[1] == len(m))
+    assert seen == {True, False}
     assert I.trim_by_gap(np.zeros((5, 5), bool)) is None and I.trim_by_margin(np.zeros((40, 40), bool)) is None
 
 
+def test_boxes_by_dilation():
+    m = np.zeros((30, 30), bool)
+    m[5:8, 5:8] = m[5:8, 12:15] = m[20:23, 5:8] = True
+    assert I.boxes_by_dilation(m, 3, 7, 3) == [3, 2, 2, 2, 2, 1, 1]
+
+
 def test_probabilities():
     assert P.upper_gamma(0.5, 3.841458820694124 / 2) == pytest.approx(0.05, abs=1e-9)
     assert P.chi2_p(9.487729036781154, 4) == pytest.approx(0.05, abs=1e-9)

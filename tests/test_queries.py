@@ -40,6 +40,4 @@ def test_equals_sql(spark, small, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, small, name):
-    if name.startswith(("traced", "stroke", "spectral", "circle", "terminal")):
-        pytest.skip("covered by the kernels' own tests; slow on all images")
     assert QUERIES[name](spark, small).limit(5).count() > 0
