@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
@@ -18,6 +19,8 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     _shipped.add(app)
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, "2000")  # rows of long texts or sets of shingles: a batch stays small
     top = Path(__file__).parent
     path = os.path.join(tempfile.mkdtemp(prefix="glyphframe-"), "glyphframe.zip")
     with zipfile.ZipFile(path, "w") as z:
