@@ -15,17 +15,18 @@ tokens, so broadcasting it is safe. Everything else runs over all documents in o
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, schema, texts, with_outputs, written
+from .common import lean, packed, schema, texts, with_outputs, written
 from .simhash import shingle_hashes
 
 MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -134,20 +135,22 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     few = rows.groupBy("doc").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc"), "doc").limit(max_labelled).collect()  # at most max_labelled rows of 12 bytes
     spark = docs.sparkSession
     chosen = spark.createDataFrame([tuple(x) for x in few], "doc bigint, y int")
-    met = written(docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc").select("doc", "text", "y"))
-    rows = sorted(met.mapInArrow(_minima, "doc bigint, minima array<bigint>").collect())  # at most max_labelled rows, but for repeated ids
-    seen: set[tuple[int, int]] = set()
+    met = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(chosen), "doc")
+    first = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")  # of rows that repeat an id one counts
+    met = written(met.withColumn("place", F.row_number().over(first)).where("place = 1").select("doc", "text", "y"))
+    rows = sorted(met.mapInArrow(_minima, "doc bigint, minima array<bigint>").collect())  # at most max_labelled rows
+    seen: set[tuple] = set()
     kept = []
     for doc, minima in rows:
-        marks = set(enumerate(minima))
+        marks = set(itertools.combinations(enumerate(minima), 3))
         if not marks & seen:
             kept.append((doc,))
-        seen |= marks
+            seen |= marks
     return met.join(F.broadcast(spark.createDataFrame(kept, "doc bigint")), "doc", "left_semi").select("text", "y")
 
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Four min-hashes of the shingles of three words: copies and near copies share one of them."""
+    """Four min-hashes of the shingles of three words: copies share all of them, near copies mostly three or more."""
     mix = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
     for batch in batches:
         rows = []
@@ -228,6 +231,7 @@ def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     out = T.StructType([rows.schema["row"], *schema(f"score double, predicted int, n_tokens bigint, passages {PASSAGES}").fields])
     passage = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = shared.value
         for batch in batches:
