@@ -41,11 +41,12 @@ def cosine_distance(a: str, b: str) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean", block: int = 1024, k: int | None = None) -> DataFrame:
+def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean", block: int = 4096, k: int | None = None) -> DataFrame:
     """(a, b, d) for ordered pairs of different rows: all of them, or the k nearest b of each a by rounded distance, then key.
 
     Blocks of rows meet blocks of rows, each pair of blocks in one task as matrices; with k only the k best of a block go on.
-    The work is that of all pairs, memory that of two blocks.
+    The work is that of all pairs, memory that of two blocks; a vector is sent once for each block. Vectors have one length,
+    without nulls.
     """
     total = rows.count()
     parts = max(1, math.ceil(total / block))
@@ -54,30 +55,39 @@ def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean",
     left = placed.select("id", "v", F.col("own").alias("i"), every.alias("j"))
     right = placed.select(F.col("id").alias("id"), "v", every.alias("i"), F.col("own").alias("j")).select(*[F.col(c).alias(c) for c in ("id", "v", "i", "j")])
 
+    def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        if metric == "cosine":
+            with np.errstate(invalid="ignore", divide="ignore"):
+                return 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
+        if x.shape[1] <= 16:
+            return np.sqrt(sum((x[:, c, None] - y[:, c]) ** 2 for c in range(x.shape[1])) + np.zeros((len(x), len(y))))
+        return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+
+    def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
+
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
-        x, y = (np.array(t.column("v").to_pylist(), float) for t in (a, b))
+        b = b.sort_by("id")
+        width = len(a.column("v")[0])
+        x, y = matrix(a.column("v"), width), matrix(b.column("v"), width)
         ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-        if metric == "cosine":
-            with np.errstate(invalid="ignore", divide="ignore"):
-                d = 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
-        else:
-            d = np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2)) if x.shape[1] <= 16 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
-        d[ia[:, None] == ib] = np.nan
-        d = np.round(d, 9) + 0.0
-        if k is None:
-            r, c = np.nonzero(~np.isnan(d))
-        else:
-            order = np.argsort(ib, kind="stable")
-            d, ib = d[:, order], ib[order]
-            c = np.argsort(np.where(np.isnan(d), np.inf, np.round(d, 4)), axis=1, kind="stable")[:, :k]
-            r = np.repeat(np.arange(len(ia)), c.shape[1])
-            c = c.ravel()
-            ok = ~np.isnan(d[r, c])
-            r, c = r[ok], c[ok]
-        return pa.table([ia[r], ib[c], d[r, c]], schema=out)
+        parts = []
+        for start in range(0, len(x), 256):
+            d = apart(x[start : start + 256], y)
+            d[ia[start : start + 256, None] == ib] = np.nan
+            d = np.round(d, 9) + 0.0
+            if k is None:
+                r, c = np.nonzero(~np.isnan(d))
+            else:
+                c = np.argsort(np.where(np.isnan(d), np.inf, np.round(d, 4)), axis=1, kind="stable")[:, :k]
+                r, c = np.repeat(np.arange(len(d)), c.shape[1]), c.ravel()
+                ok = ~np.isnan(d[r, c])
+                r, c = r[ok], c[ok]
+            parts.append(pa.table([ia[start + r], ib[c], d[r, c]], schema=out))
+        return pa.concat_tables(parts)
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "a bigint, b bigint, d double")
 

@@ -202,32 +202,36 @@ def descriptor_vector(spark, sf):
     return v.select("entity", F.size("descriptor").alias("n"), F.round(F.aggregate("descriptor", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-# The 3 x 3 templates, cut from no image (source -1): a bar, a column, a diagonal, a corner.
-TEMPLATES = [(0, 0, [0, 0, 0, 1, 1, 1, 0, 0, 0]), (1, 1, [0, 1, 0, 0, 1, 0, 0, 1, 0]), (2, 2, [1, 0, 0, 0, 1, 0, 0, 0, 1]), (3, 3, [1, 1, 1, 1, 0, 0, 1, 0, 0])]
-TEMPLATE_ROWS = ", ".join(f"({n}, {s}, {[float(v) for v in vs]})" for n, s, vs in TEMPLATES)
+# Templates are the 3 x 3 patches of most contrast of each image; units are centred and of length 1.
+PATCHES = """raw AS (SELECT vec_id AS img_id, y.range AS y, x.range AS x, list_transform(range(9), lambda i: e[(y.range + i // 3) * 8 + x.range + i % 3 + 1]) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), range(6) y, range(6) x),
+mid AS (SELECT img_id, y, x, list_avg(v) AS m, v FROM raw), centred AS (SELECT img_id, y, x, list_transform(v, lambda a: a - m) AS c FROM mid), sized AS (SELECT *, sqrt(list_inner_product(c, c)) AS norm FROM centred),
+spot AS (SELECT img_id, y, x, norm, list_transform(c, lambda a: a / norm) AS unit FROM sized),
+template AS (SELECT img_id * {most} + r - 1 AS template, img_id AS source, x + 1 AS cx, y + 1 AS cy, unit FROM (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY round(norm, 9) DESC, y, x) AS r FROM spot) WHERE r <= {most}),
+best AS (SELECT img_id, template, max(score) AS score, arg_min(y * 6 + x, (-score, y * 6 + x)) AS place FROM (SELECT s.img_id, t.template, s.y, s.x, round(list_inner_product(s.unit, t.unit), 6) AS score FROM spot s JOIN template t ON t.source <> s.img_id) GROUP BY 1, 2)"""
 
 
-@query(f"""
-WITH {PIXEL}, t AS (SELECT template, source, (i - 1) // 3 AS dy, (i - 1) % 3 AS dx, v - m AS c, norm FROM (SELECT template, source, generate_subscripts(vs, 1) AS i, unnest(vs) AS v, list_avg(vs) AS m, sqrt(list_sum(list_transform(vs, lambda v: pow(v - list_avg(vs), 2)))) AS norm FROM (VALUES {TEMPLATE_ROWS}) a(template, source, vs))),
-spot AS (SELECT p.img_id, y0.range AS y, x0.range AS x, p.y - y0.range AS dy, p.x - x0.range AS dx, v FROM range(6) y0, range(6) x0 JOIN pixel p ON p.y BETWEEN y0.range AND y0.range + 2 AND p.x BETWEEN x0.range AND x0.range + 2),
-norms AS (SELECT img_id, y, x, sqrt(var_pop(v) * 9) AS norm FROM spot GROUP BY ALL),
-s AS (SELECT spot.img_id, template, spot.y, spot.x, round(sum(v * c) / any_value(t.norm) / any_value(norms.norm), 6) AS score FROM spot JOIN t USING (dy, dx) JOIN norms ON norms.img_id = spot.img_id AND norms.y = spot.y AND norms.x = spot.x WHERE source <> spot.img_id GROUP BY ALL)
-SELECT img_id, template, score, y::INTEGER AS y, x::INTEGER AS x FROM s QUALIFY row_number() OVER (PARTITION BY img_id, template ORDER BY score DESC, y, x) = 1
-""")
+@query(f"WITH {PATCHES.format(most=1)} SELECT img_id, template, score, (place // 6)::INTEGER AS y, (place % 6)::INTEGER AS x FROM best")
 def ncc_best_match(spark, sf):
-    return Q.best_matches(images(spark, sf), TEMPLATES, 3)
+    return Q.best_matches(images(spark, sf), Q.image_templates(images(spark, sf), 3), 3)
 
 
-@query()
+@query(f"""
+WITH {PATCHES.format(most=2)}, n AS (SELECT template, count(DISTINCT img_id) AS n FROM best WHERE score >= 0.9 GROUP BY 1 HAVING count(DISTINCT img_id) >= 2)
+SELECT template, source, n, least(n, 10)::INTEGER AS listed FROM n JOIN template USING (template) QUALIFY row_number() OVER (PARTITION BY source, cx // 4, cy // 4 ORDER BY n DESC, template) = 1
+""")
 def motif_report(spark, sf):
-    sources = spark.createDataFrame([(n, s, 10 * n, 10 * s) for n, s, _ in TEMPLATES], "template int, source int, cx int, cy int")
-    return Q.motifs(Q.best_matches(images(spark, sf), TEMPLATES, 3, 0.65), sources).select("template", "source", "n", F.size("matches").alias("listed"))
+    templates = Q.image_templates(images(spark, sf), 3, 2)
+    found = Q.motifs(Q.best_matches(images(spark, sf), templates, 3, 0.9), templates.drop("unit"), cell=4)
+    return found.select("template", "source", "n", F.size("matches").alias("listed"))
 
 
-@query()
+@query(f"""
+WITH {PATCHES.format(most=1)}, member AS (SELECT template, img_id FROM best WHERE score >= 0.95 UNION SELECT template, source FROM template)
+SELECT a.img_id AS lo, b.img_id AS hi, count(*) AS n FROM member a JOIN member b ON a.template = b.template AND a.img_id < b.img_id GROUP BY 1, 2 ORDER BY n DESC, lo, hi LIMIT 20
+""")
 def motif_cooccurrence(spark, sf):
-    sources = spark.createDataFrame([(n, s) for n, s, _ in TEMPLATES], "template int, source int")
-    return Q.motif_pairs(Q.best_matches(images(spark, sf), TEMPLATES, 3, 0.9).select("template", F.col("img_id").cast("int").alias("img_id")), sources).orderBy(F.desc("n"), "lo", "hi").limit(20)
+    templates = Q.image_templates(images(spark, sf), 3)
+    return Q.motif_pairs(Q.best_matches(images(spark, sf), templates, 3, 0.95), templates).orderBy(F.desc("n"), "lo", "hi").limit(20)
 
 
 # After so many rounds a pixel within that many steps, diagonal ones included, is ink.
