@@ -33,7 +33,7 @@ from .common import checkpointed, packed, schema, texts, with_outputs, written
 from .simhash import signed
 from .substrings import GRAM, anchors
 
-HOT, FLUSH, SLOTS, SPAN = 64, 32 << 20, 27, 16
+HOT, FLUSH, SLOTS, SPAN, SHARES, GROUP = 64, 32 << 20, 27, 16, 1000, 16 << 20
 PIECE = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("b1", pa.int64()), ("b2", pa.int64()), ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("known", pa.int64()), ("windows", pa.list_(pa.int64()))])
 
 
@@ -268,13 +268,23 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from pa.ipc.open_stream(data)
 
 
+def met(rows: DataFrame, found: DataFrame, on: list[str], n: int) -> DataFrame:
+    """The rows whose key is among those of found (on, n: how many rows have it). n is the number of all rows.
+
+    At most SHARES keys have more than n / SHARES rows: these meet their rows where they stand, the others in a shuffle.
+    """
+    heavy = F.broadcast(found.where(F.col("n") > n // SHARES).select(*on))
+    light = rows.join(heavy, on, "left_anti").join(found.where(F.col("n") <= n // SHARES).select(*on), on)
+    return rows.join(heavy, on).select(*rows.columns).union(light.select(*rows.columns))
+
+
 def hot_spans(pieces: DataFrame, length: int) -> DataFrame:
     """(doc, th, start, end) of the windows that pieces (the columns of PIECE) share."""
     names = ["c1", "c2", "b1", "b2"]
     kinds = checkpointed(pieces.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "at", "known", "windows")).alias("of")))
     mixed = checkpointed(kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("d")).where("d > 1").select("c1", "c2"))
     ends = F.col("at") + F.size("windows") - 1 + length
-    whole = pieces.where("known = 0").join(kinds.where("n > 1").select(*names), names).select("doc", "th", F.col("at").alias("start"), ends.alias("end"))
+    whole = met(pieces.where("known = 0"), kinds.where("n > 1"), names, pieces.count()).select("doc", "th", F.col("at").alias("start"), ends.alias("end"))
     # In both halves, what is known to repeat counts as another place but needs no span of its own.
     single = kinds.join(mixed, ["c1", "c2"]).select("c1", "c2", "of.doc", "of.th", "of.at", ((F.col("n") > 1) | (F.col("of.known") == 1)).alias("known"), F.posexplode("of.windows").alias("i", "w"))
     again = checkpointed(single.groupBy("c1", "c2", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c1", "c2", "w"))
@@ -285,24 +295,27 @@ def hot_spans(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, length: int = 200, slots: int = SLOTS) -> DataFrame:
     """(doc, th, start, end): spans that together cover each byte of a repeated string of the texts of keyed (doc, th, text)."""
     spark = keyed.sparkSession
-    twice = checkpointed(keyed.mapInArrow(_grams(length), "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n")).where("n > 1").select("kh"))
+    twice = checkpointed(keyed.mapInArrow(_grams(length), "kh bigint, n bigint").groupBy("kh").agg(F.sum("n").alias("n")).where("n > 1"))
     # A bit map of fixed size spares most rows the shuffle; the join decides.
     slot = F.col("kh").bitwiseAND(F.lit((1 << slots) - 1))
     words = twice.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(kh & 63 as int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (slots - 6), np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     bits = spark.sparkContext.broadcast(bits)
-    rows = written(keyed.mapInArrow(_contexts(length, bits), "kh bigint, xh bigint, doc bigint, th bigint, pos bigint").join(twice, "kh", "left_semi"))
+    placed = keyed.mapInArrow(_contexts(length, bits), "kh bigint, xh bigint, doc bigint, th bigint, pos bigint")
+    places = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = written(met(placed, twice, ["kh"], places))
     contexts = written(rows.groupBy("kh", "xh").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "th", "pos")).alias("at")))
     mixed = checkpointed(contexts.groupBy("kh").agg(F.count(F.lit(1)).alias("d")).where("d > 1"))
     wanted = contexts.join(mixed, "kh").select("at.doc", "at.th", F.struct("at.pos", "kh", (F.col("n") > 1).alias("known"), (F.col("d") > HOT).alias("hot")).alias("x")).groupBy("doc", "th").agg(F.collect_list("x").alias("wanted"))
-    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Groups of grams of bounded size: a gram that isn't hot has HOT contexts at most.
+    groups = max(1, contexts.join(mixed.where(F.col("d") <= HOT), "kh", "left_semi").count() * (2 * length + 100) // GROUP) * 4
     run, kinds = _runs(length, groups)
     runs = written(keyed.join(wanted, ["doc", "th"]).select("doc", "th", "text", "wanted").mapInArrow(run, kinds))
     ends = runs.where("p >= 0").groupBy("p").applyInArrow(_merge(length), "doc bigint, th bigint, start bigint, end bigint")
     singles = hot_spans(runs.where("p < 0").select("meta").mapInArrow(_unpack, "c1 bigint, c2 bigint, b1 bigint, b2 bigint, doc bigint, th bigint, at bigint, known bigint, windows array<bigint>"), length)
     first = F.shiftright("pos", 16)
-    whole = rows.join(contexts.where("n > 1").select("kh", "xh"), ["kh", "xh"]).select("doc", "th", first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(255)) + length).alias("end"))
+    whole = met(rows, contexts.where("n > 1"), ["kh", "xh"], places).select("doc", "th", first.alias("start"), (first + F.col("pos").bitwiseAND(F.lit(255)) + length).alias("end"))
     return ends.union(singles).union(whole)
 
 

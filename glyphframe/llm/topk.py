@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 from .vectors import best, matrix, vectors
 
-QUERY_BLOCK, BLOCK, STEP = 512, 4096, 8
+QUERY_BLOCK, BLOCK, STEP, CHUNK = 4096, 8192, 8, 256
 EXACT = float(2**53)
 
 
@@ -40,14 +40,15 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarra
     spread = np.argsort(-(q * q).sum(axis=0), kind="stable") if energy[-1] > energy[0] else np.arange(dims)
     columns, q = columns[spread], q[:, spread]
     cuts = list(range(0, dims, step)) + [dims]
-    # Remaining lengths after each block of dimensions, and the first block's scores of all queries at once.
+    # Remaining lengths after each block of dimensions, and the first block's scores of many queries at once.
     left_x = [np.sqrt((columns[c:] ** 2).sum(axis=0)) for c in cuts[1:]]
     left_q = [np.sqrt((q[:, c:] ** 2).sum(axis=1)) for c in cuts[1:]]
-    first = q[:, : cuts[1]] @ columns[: cuts[1]]
     rows, found, scores = [], [], []
     for i in range(len(q)):
+        if i % CHUNK == 0:
+            first = q[i : i + CHUNK, : cuts[1]] @ columns[: cuts[1]]
         alive, b = np.flatnonzero(ids != q_ids[i]), 1
-        part = first[i, alive]
+        part = first[i % CHUNK, alive]
         while b < len(cuts) - 1 and len(alive) > k:
             room = left_q[b - 1][i] * left_x[b - 1][alive] * (1 + 1e-9) + 1e-6
             low = part - room
