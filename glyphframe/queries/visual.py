@@ -255,7 +255,13 @@ def skeleton(spark, sf):
     return R.pixels(P.skeletons(masks(spark, sf))).where("v = 1").select("img_id", "y", "x")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {PIXEL}, cell AS (SELECT img_id, y + 1 AS y, x + 1 AS x, ink FROM pixel UNION ALL SELECT vec_id, a.range, b.range, 0 FROM embeddings, range(10) a, range(10) b WHERE a.range IN (0, 9) OR b.range IN (0, 9)),
+cc(img_id, p, y, x, ink, c) USING KEY (img_id, p) AS (SELECT img_id, y * 10 + x, y, x, ink, y * 10 + x FROM cell UNION (SELECT u.img_id, u.p, u.y, u.x, u.ink, min(v.c) FROM recurring.cc u JOIN cc v ON v.img_id = u.img_id AND v.ink = u.ink AND abs(u.y - v.y) <= 1 AND abs(u.x - v.x) <= 1 AND (u.ink = 1 OR abs(u.y - v.y) + abs(u.x - v.x) = 1) WHERE v.c < u.c GROUP BY 1, 2, 3, 4, 5)),
+n AS (SELECT img_id, count(DISTINCT c) FILTER (ink = 1) AS fg, count(DISTINCT c) FILTER (ink = 0) - 1 AS holes FROM cc GROUP BY 1),
+edge AS (SELECT a.img_id, count(DISTINCT a.c) AS n FROM cc a JOIN cc b ON b.img_id = a.img_id AND b.ink = 0 AND b.c = 0 AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 WHERE a.ink = 1 GROUP BY 1)
+SELECT img_id, fg::INTEGER AS components, holes::INTEGER AS holes, (holes + fg - coalesce(edge.n, 0))::INTEGER AS nested, (coalesce(edge.n, 0) - holes)::INTEGER AS euler FROM n LEFT JOIN edge USING (img_id)
+""")
 def raster_topology(spark, sf):
     return P.topology(masks(spark, sf))
 
@@ -300,12 +306,27 @@ def outer_contours(spark, sf):
     return P.contour_points(masks(spark, sf))
 
 
-@query()
+# The enlarged masks: rows and columns of 40 with ink.
+LARGE = f"{PIXEL}, big AS (SELECT img_id, y * 5 + a.range AS y, x * 5 + b.range AS x FROM pixel, range(5) a, range(5) b WHERE ink = 1), line AS (SELECT DISTINCT img_id, y FROM big)"
+
+
+@query(f"""
+WITH {LARGE}, e AS (SELECT img_id, min(y) AS top, max(y) AS bottom, greatest(max(y) - 30, min(y) + 20) AS stop FROM line GROUP BY 1),
+blank AS (SELECT e.img_id, k.range AS y, k.range - row_number() OVER (PARTITION BY e.img_id ORDER BY k.range) AS run FROM e, range(40) k WHERE k.range BETWEEN stop AND bottom AND NOT EXISTS (SELECT 1 FROM line WHERE line.img_id = e.img_id AND line.y = k.range)),
+cut AS (SELECT img_id, max(low) AS low FROM (SELECT img_id, min(y) AS low, max(y) AS high, count(*) AS n FROM blank GROUP BY img_id, run) JOIN e USING (img_id) WHERE n >= 3 AND high > stop AND bottom - high BETWEEN 1 AND 19 GROUP BY 1),
+kept AS (SELECT img_id, top, coalesce(low, bottom + 1) AS past FROM e LEFT JOIN cut USING (img_id))
+SELECT img_id, greatest(0, any_value(top) - 3)::INTEGER AS y0, least(40, any_value(past) + 1)::INTEGER AS y1, greatest(0, min(x) - 3)::INTEGER AS x0, least(40, max(x) + 3)::INTEGER AS x1 FROM kept JOIN big USING (img_id) WHERE y >= top AND y < past GROUP BY 1
+""")
 def crop_by_gap(spark, sf):
     return P.crops(gray(spark, sf), "gap")
 
 
-@query()
+# Of a box of at most 24 rows nothing is cut.
+@query(f"""
+WITH {LARGE}, inner_ AS (SELECT img_id, y, x, max((y BETWEEN 15 AND 24)::INT) OVER (PARTITION BY img_id) AS deep FROM big),
+e AS (SELECT img_id, min(y) AS top, max(y) AS bottom, min(x) AS l, max(x) AS r FROM inner_ WHERE y BETWEEN CASE WHEN deep = 1 THEN 15 ELSE 8 END AND CASE WHEN deep = 1 THEN 24 ELSE 31 END GROUP BY 1)
+SELECT img_id, greatest(0, top - 5)::INTEGER AS y0, least(40, bottom + 5)::INTEGER AS y1, greatest(0, l - 5)::INTEGER AS x0, least(40, r + 5)::INTEGER AS x1 FROM e
+""")
 def crop_by_margin(spark, sf):
     return P.crops(gray(spark, sf), "margin")
 
