@@ -20,7 +20,7 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     if not spark.sparkContext.getConf().contains(BATCH):
-        spark.conf.set(BATCH, "2000")  # rows of long texts or sets of shingles: a batch stays small
+        spark.conf.set(BATCH, "500")  # rows of long texts or sets of shingles: a batch stays small
     top = Path(__file__).parent
     path = os.path.join(tempfile.mkdtemp(prefix="glyphframe-"), "glyphframe.zip")
     with zipfile.ZipFile(path, "w") as z:

@@ -127,3 +127,39 @@ def test_registry_without_the_optional_part(tmp_path):
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path / "repo")}, capture_output=True, text=True)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout) > 80
+
+
+def test_images_are_written_read_and_joined(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    pixels = {k: rng.integers(0, 256, (5, 7)) for k in range(4)}
+    images = spark.createDataFrame([(k, 5, 7, m.ravel().astype(float).tolist()) for k, m in pixels.items()] + [(9, None, None, None)], "img_id long, h int, w int, px array<double>")
+    for kind in ("png", "pgm"):
+        for _ in range(2):  # the same again replaces
+            assert files.write_images(images, f"file://{tmp_path}/{kind}", kind) == 4
+        listed = spark.createDataFrame([(10 + k, f"{k}.{kind}") for k in (0, 2, 77)], "id long, file string")
+        got = {r.img_id: np.array(r.px).reshape(r.h, r.w) for r in files.read_listed_images(spark, f"{tmp_path}/{kind}/*", listed).collect()}
+        assert got.keys() == {10, 12} and (got[10] == pixels[0]).all() and (got[12] == pixels[2]).all()
+
+
+def test_png_lines_of_every_kind():
+    import zlib
+
+    rng = np.random.default_rng(1)
+    for channels, colour in ((1, 0), (3, 2), (2, 4), (4, 6)):
+        m = rng.integers(0, 256, (5, 6 * channels)).astype(int)
+        raw = b""
+        for y in range(5):  # a line of each kind, differences taken one by one
+            up = m[y - 1] if y else np.zeros(6 * channels, int)
+            line = []
+            for i in range(6 * channels):
+                a, b, c = (m[y, i - channels] if i >= channels else 0), up[i], (up[i - channels] if i >= channels else 0)
+                guess = sorted((abs(a + b - c - v), k, v) for k, v in enumerate((a, b, c)))[0][2]
+                line.append((m[y, i] - (0, a, b, (a + b) // 2, guess)[y]) % 256)
+            raw += bytes([y, *line])
+        body = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + b"\0\0\0\0"
+        head = (6).to_bytes(4, "big") + (5).to_bytes(4, "big") + bytes([8, colour, 0, 0, 0])
+        found = files.png(files.PNG + body(b"IHDR", head) + body(b"IDAT", zlib.compress(raw)) + body(b"IEND", b""))
+        v = m.reshape(5, 6, channels)
+        want = v[:, :, 0] if channels < 3 else np.rint(v[:, :, :3] @ np.array([0.299, 0.587, 0.114]))
+        assert (found == want).all()
+    assert files.png(files.PNG) is None and files.png(files.to_png(2, 2, [1, 2, 3, 4])[:-30]) is None
