@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 # The kinds in order, their patterns, scores and context words.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("iban", "ssn")
+ADDED = ("iban", "ssn", "secret")
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++",
@@ -24,8 +24,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
-SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SCORES = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 WORDS = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address",
@@ -33,6 +34,7 @@ WORDS = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|transfer",
     "ssn": "ssn|social|security|tax|id",
+    "secret": "token|secret|password|passwd|credential|bearer|auth|api.?key|key",
 }
 CONTEXT, BONUS, ENOUGH, BLOCK = 40, 0.2, 0.5, 64
 SPAN = "struct<start: int, kind: int, end: int, score: double>"
@@ -75,6 +77,8 @@ def confirmed(kind: str, match: Column) -> Column:
         return F.length(digits).between(10, 15)
     if kind == "iban":
         return let(F.replace(match, F.lit(" "), F.lit("")), lambda n: F.when(F.length(n).between(15, 34), mod97(n)).otherwise(False))
+    if kind == "secret":  # letters and digits mixed, as in keys and digests
+        return (F.length(match) <= 256) & match.rlike("[0-9].*[A-Za-z].*[0-9]|[A-Za-z].*[0-9].*[A-Za-z]")
     return F.lit(True)
 
 
@@ -84,11 +88,14 @@ def sums_before(steps: Column, i: Column, blocks: Column) -> Column:
     return blocks[whole] + F.aggregate(F.slice(steps, whole * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, x: a + x)
 
 
-def block_sums(steps: Column) -> Column:
+def block_sums(steps: Column, levels: int = 3) -> Column:
+    """The sums of all steps before each block of BLOCK, by way of blocks of blocks, so that a million steps stay cheap."""
     number = F.sequence(F.lit(0), F.floor(F.size(steps) / BLOCK).cast("int"))
     add = lambda a, x: a + x
     each = F.transform(number, lambda b: F.aggregate(F.slice(steps, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), add))
-    return let(each, lambda e: F.transform(number, lambda b: F.aggregate(F.slice(e, F.lit(1), b), F.lit(0), add)))
+    if levels == 1:
+        return let(each, lambda e: F.transform(number, lambda b: F.aggregate(F.slice(e, F.lit(1), b), F.lit(0), add)))
+    return let(each, lambda e: let(block_sums(e, levels - 1), lambda above: F.transform(number, lambda b: sums_before(e, b, above))))
 
 
 def spans(text: Column, kind: str) -> Column:
@@ -119,14 +126,14 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with found (kind, start, end, score of each span), n_email, n_ip, n_card, n_phone, base_sha256 and spans.
+    """docs with found (kind, start, end, score of each span), n_found, n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
-    Base kinds stay whatever their score; iban and ssn spans stay if their score is high enough, which for ssn takes a
-    context word nearby. Offsets are code points, ends exclusive. spans lists all by start, then kind; base_sha256 is the
+    Base kinds stay whatever their score; iban, ssn and secret spans stay if their score is high enough, which for ssn and
+    secret takes a context word nearby. A secret is a run of 20 to 256 letters, digits, - and _ that mixes letters and digits. Offsets are code points, ends exclusive. spans lists all by start, then kind; base_sha256 is the
     digest of the same list without the added kinds. Null and empty texts have none. Repeated rows get equal results.
     Input columns named like an output give way to it.
     """
-    names = ["found", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["found", "n_found", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
     kept = [F.col(f"`{x}`") for x in docs.columns if x.lower() not in names]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     all_kinds = BASE + ADDED
@@ -137,4 +144,4 @@ def personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     count = lambda k: F.size(F.filter(found, lambda s: s["kind"] == k)).cast("bigint")
     counts = [count(k).alias(f"n_{x}") for k, x in enumerate(BASE)]
     listed = F.transform(found, lambda s: F.struct(name[s["kind"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))).alias("found")
-    return with_all.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in names], listed, *counts, F.sha2(joined(F.filter(found, lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"), joined(found).alias("spans"))
+    return with_all.select(*[F.col(f"`{x}`") for x in docs.columns if x.lower() not in names], listed, F.size(found).cast("bigint").alias("n_found"), *counts, F.sha2(joined(F.filter(found, lambda s: s["kind"] < len(BASE))), 256).alias("base_sha256"), joined(found).alias("spans"))

@@ -48,13 +48,21 @@ def test_base_spans_equal_brute_force(spark, small):
 
 
 def test_added_kinds_and_scores(spark):
-    docs = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "my ssn is 078-05-1120"), (3, "part 078-05-1120"), (4, "DE88 3704 0044 0532 0130 00")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "my ssn is 078-05-1120"), (3, "part 078-05-1120"), (4, "DE88 3704 0044 0532 0130 00"), (5, 'the token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" of'), (6, "commit 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"), (7, "the secret is onlylettersandnothingelseinhere")], "doc_id long, text string")
     rows = {r.doc_id: r.found for r in personal_data(docs).collect()}
     assert [x.kind for x in rows[1] if x.kind == "iban"] == ["iban"] and rows[1][0].score == pytest.approx(1.0)
     assert [x.kind for x in rows[2]] == ["ssn"]
+    assert [(x.kind, x.end - x.start) for x in rows[5]] == [("secret", 40)] and rows[6] == [] and rows[7] == []
     assert rows[3] == [] and not [x for x in rows[4] if x.kind == "iban"]
 
 
+def test_sums_of_very_many_matches(spark):
+    """Spans deep into a text of 200,000 matches: more than a block of blocks."""
+    text = "1.2.3.4 " * 200_000
+    found = personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.element_at("found", -1).alias("f"), "n_found").first()
+    assert (found.f.start, found.f.end, found.n_found) == (8 * 199_999, 8 * 199_999 + 7, 200_000)
+
+
 def test_empty_table_clashing_names_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a@b.cd", 7, "x"), (1, "a@b.cd", 7, "x"), (None, None, None, None)], "doc_id long, text string, n_email int, found string")
     assert personal_data(docs.limit(0)).count() == 0
