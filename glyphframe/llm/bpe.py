@@ -3,7 +3,7 @@
 Texts are split by the vocabulary's pattern. Pieces that a worker has not met before are encoded together: rows of one
 length class stand in a padded numpy matrix of token ids, and each round every row merges its leftmost pair of the lowest
 rank, found in a hash table of pairs; the matrix is then one column narrower, and rows without a pair leave it. Pieces
-longer than LONGEST bytes, for which a round per merge would be quadratic, go through a heap instead, with the same result.
+longer than LONGEST bytes go through a heap instead, with the same result: a round a merge is quadratic in a piece's length.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import driver_file, packed, schema, texts, with_outputs
+from .common import driver_file, lean, packed, schema, texts, with_outputs
 
-LONGEST, PIECES, CACHE = 256, 1 << 17, 1 << 18
+LONGEST, PIECES, CACHE = 8192, 1 << 16, 1 << 17
 NONE = np.int64(1) << 40
 
 
@@ -133,7 +133,7 @@ class Tokenizer:
                 heapq.heappush(heap, (r, h, ids[h], rank))
         return np.array([x for x in ids if x >= 0], np.int64)
 
-    def encode(self, many: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+    def encode(self, many: Iterable[str], remember: int = CACHE) -> Iterator[tuple[int, bytes]]:
         """(index of the text, ids as little-endian unsigned 32-bit integers), in order; a long text in several parts.
 
         Pieces of many texts are learned together, a bounded number at a time.
@@ -146,12 +146,12 @@ class Tokenizer:
                 held.append((i, pieces))
                 room -= len(pieces)
                 if not room:
-                    yield from self._flush(held)
+                    yield from self._flush(held, remember)
                     held, room = [], PIECES
-        yield from self._flush(held)
+        yield from self._flush(held, remember)
 
-    def _flush(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, bytes]]:
-        if len(self.cache) > CACHE:
+    def _flush(self, held: list[tuple[int, list[str]]], remember: int) -> Iterator[tuple[int, bytes]]:
+        if len(self.cache) > remember:
             self.cache.clear()
         self.learn(itertools.chain.from_iterable(x for _, x in held))
         cache = self.cache
@@ -178,12 +178,13 @@ def tokenizer(ranks: bytes, pattern: str) -> Tokenizer:
     return _made[key]
 
 
-def _encode(ranks, pattern: str, keep_ids: bool):
+def _encode(ranks, pattern: str, keep_ids: bool, remember: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tokenizer(ranks.value, pattern)
         for batch in batches:
             found = [[hashlib.sha256(), hashlib.sha256(), 0, []] for _ in range(batch.num_rows)]
-            for i, part in made.encode(x.decode("utf-8", "replace") for x in texts(batch.column(1))):
+            for i, part in made.encode((x.decode("utf-8", "replace") for x in texts(batch.column(1))), remember):
                 a, b, n, parts = found[i]
                 a.update(part)
                 b.update(made.decode(part))
@@ -197,12 +198,13 @@ def _encode(ranks, pattern: str, keep_ids: bool):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", columns: list[str] | None = None, keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", columns: list[str] | None = None, keep_ids: bool = True, remember: int = CACHE) -> DataFrame:
     """The columns of docs (or those named) with ids (array<int>), n_tokens, ids_sha256 and decoded_sha256.
 
     path is a .tiktoken file that the driver reads; its size is the vocabulary's, so it is broadcast. Special tokens are
-    ordinary text. Null or empty text: no ids. A very long text is encoded PIECES pieces at a time. Repeated rows are each
-    encoded. Input columns named like an output give way to it. No rows give no rows.
+    ordinary text. A worker remembers the ids of about `remember` pieces. Null or empty text: no ids. A very long text is
+    encoded PIECES pieces at a time. Repeated rows are each encoded. Input columns named like an output give way to it. No
+    rows give no rows.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(driver_file(path))
     rows = packed(docs.select(*[F.col(f"`{x}`") for x in columns or docs.columns], F.col(f"`{text_col}`").cast("string").alias("text to encode")))
@@ -210,7 +212,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", col
     names = ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
     kinds = {"ids": "array<int>", "n_tokens": "bigint"}
     out = T.StructType([rows.schema["row"], *schema(", ".join(f"{x} {kinds.get(x, 'string')}" for x in names)).fields])
-    return with_outputs(rows.mapInArrow(_encode(ranks, pattern, keep_ids), out), "row", names)
+    return with_outputs(rows.mapInArrow(_encode(ranks, pattern, keep_ids, remember), out), "row", names)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -218,6 +220,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str =
     ranks = encoded.sparkSession.sparkContext.broadcast(driver_file(path))
     rows = packed(encoded)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {int(b): base64.b64decode(a) for a, b in (x.split() for x in ranks.value.splitlines() if x)}
         for batch in batches:

@@ -32,7 +32,7 @@ from .simhash import shingle_hashes
 MARKS = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 BLANKS = bytes.maketrans(MARKS, b" " * len(MARKS))
 STEMS = (4, 5, 6, 7)
-CACHE = 1 << 17  # words that a worker remembers
+CACHE = 1 << 16  # words that a worker remembers
 PASSAGES = "array<struct<start: int, end: int, score: double, evalue: double>>"
 
 
