@@ -192,7 +192,7 @@ def test_bpe_equals_the_library(spark, small):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    more = spark.createDataFrame([(1, x) for x in ["a" * 3000, "ab" * 400, "日本語😀" * 40, "<|endoftext|>", "  \n\n x", "1234567890" * 90, "it's we'll"]], "doc_id long, text string")
+    more = spark.createDataFrame([(1, x) for x in ["a" * 3000, "ab" * 400, "日本語😀" * 40, "<|endoftext|>", "  \n\n x", "1234567890" * 90, "ab" * 6000, "it's we'll"]], "doc_id long, text string")
     for docs in (spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), odd_docs(spark), more):
         out = bpe.encode(docs, path, pattern)
         for r in bpe.decode(out, path).collect():
@@ -274,3 +274,24 @@ def test_shortages_go_to_siblings_first(spark):
 def test_mixing_plan_is_native(spark, small):
     plan = mixing.mixed_ids(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mixing_with_clashing_names(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    clash = docs
+    for c in ("a", "b", "c", "unit", "n", "copies", "leaf", "UNIT_", "each_"):
+        clash = clash.withColumn(c, docs.lang)
+    assert Counter(map(tuple, mixing.mixed_ids(clash).collect())) == Counter(map(tuple, mixing.mixed_ids(docs).collect()))
+    assert Counter(tuple(r)[:5] for r in mixing.mixed(clash).collect()) == Counter(map(tuple, mixing.mixed(docs).collect()))
+
+
+def test_toxicity_of_odd_texts(spark):
+    model = toxicity.Model(scores={b"bad": 6.0}, gap=-0.02, weights=(3.0, 0.0, 0.0, -3.0))
+    rows = toxicity.toxicity(odd_docs(spark), model).collect()
+    by = {(r.doc_id, r.text): (r.score, r.predicted, r.n_tokens) for r in rows}
+    assert len(rows) == odd_docs(spark).count() and by[0, None] == by[1, ""] and by[0, None][2] == 0 and by[None, None] == by[0, None]
+    assert by[7, odd_text(spark, 7)][2] == 30_000
+
+
+def odd_text(spark, doc):
+    return odd_docs(spark).where(f"doc_id = {doc} and row = 1").first().text

@@ -159,3 +159,23 @@ def test_verdicts_on_pages(spark):
     hits = sum(a and b for a, b in zip(true, said))
     print(sum(true), sum(said), hits, sorted({(r.host) for r, a, b in zip(rows, true, said) if a != b})[:20])
     assert hits >= 0.9 * sum(true) and hits >= 0.9 * sum(said)
+
+
+def test_nearest_with_ties_and_ids_of_many_vectors(spark):
+    rng = random.Random(9)
+    far = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(39)]
+    base = [1.0] * 8
+    rows = [(50, base)] + [(7, [1.0 + 0.001 * k if i == k else 1.0 for i in range(8)]) for k in range(1, 7)] + [(100 + i, v) for i, v in enumerate(far)]
+    got = sorted((r["rank"], r.vec_id) for r in hilbert_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect() if r.query_id == 50)
+    assert [k for k, _ in got] == [1, 2, 3, 4, 5] and got[0][1] == 7 and len({i for _, i in got}) == 5
+    same = [(i, [1.0, 2.0, 3.0]) for i in range(300, 0, -1)] + [(400, [3.0, -2.0, 1.0])]
+    rows = hilbert_ann.nearest(spark.createDataFrame(same, "vec_id long, embedding array<double>")).collect()
+    for q in (50, 100, 150, 200, 250, 300):
+        assert [r.vec_id for r in sorted((r for r in rows if r.query_id == q), key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+    assert [r.vec_id for r in sorted((r for r in rows if r.query_id == 400), key=lambda r: r["rank"])] == [1, 2, 3, 4, 5]
+
+
+def test_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://x.com/a/b"), (2, "http://y.x.com/a")], "page_id long, url string")
+    rows = url_filter.url_filter(pages, rules=[("allow", "x.com/a"), ("block", "x.com/a"), ("allow", "com/")]).collect()
+    assert [(r.rule, r.verdict, r.score) for r in rows] == [("x.com/a", "block", None)] * 2
