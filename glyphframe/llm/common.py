@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +45,26 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, which gives back the memory that it no longer needs when it ends: workers live on, beside other stages."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other systems have no such call
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files that no result refers to any more, now and not when the driver's heap is next cleaned."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """One struct column `row`: extra columns of whatever names stay out of the way."""
     return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, checkpointed, packed, schema, texts, with_outputs
+from .common import SPACE, checkpointed, lean, packed, schema, texts, with_outputs
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -28,6 +28,7 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def _keys(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
@@ -41,6 +42,7 @@ def _keys(min_chars: int):
 
 
 def _rebuild(min_chars: int, text_field: str):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(0)

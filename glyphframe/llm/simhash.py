@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, texts, written
+from .common import checkpointed, free_name, lean, release, texts, written
 from .components import components
 
 #: Odd multipliers that derive further 64-bit hashes from one; the first leaves it as it is.
@@ -37,7 +37,7 @@ MIX = [1] + [(0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1 for i in range(1, 64
 #: Products of sizes and a similarity may be off by rounding.
 SLACK = 1e-9
 #: Longs of a set's sketch: a bit is the parity of how many hashes fall on it, so sets differ in at least as many hashes as sketches in bits.
-SKETCH = 8
+SKETCH, HALF = 8, 4
 #: Shingles that are known to be common, at most: 16 bytes each on the driver and in each worker.
 COMMON = 1 << 19
 
@@ -80,6 +80,7 @@ def majority(hashes: Iterable[np.ndarray], longs: int = 1) -> np.ndarray:
 
 
 def _prints(words: int, longs: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x, words, longs) for x in texts(batch.column(1))]
@@ -143,6 +144,7 @@ def shingle_set(text: bytes, words: int) -> np.ndarray:
 def _frequent(words: int):
     """(hash, n): shingles that many of a task's texts hold; a bounded number of them."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
@@ -181,6 +183,7 @@ def rare_first(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.
 def _heads(words: int, similarity: float, common):
     """(doc, digest, n, fp, sketch, head) of (doc, text): a digest of the set, its size, its fingerprint and sketch, and the first of it that any set so similar must meet."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), 1000):
@@ -201,6 +204,7 @@ def _heads(words: int, similarity: float, common):
 def _shared_rows(slots: int, bits):
     """(key, pos, node, n) of (node, n, head) for the keys whose slot is set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             head = batch.column(2)
@@ -217,6 +221,7 @@ def _shared_rows(slots: int, bits):
 def _wanted_sets(words: int, slots: int, bits):
     """(node, hashes) of (doc, text) for the documents whose slot is set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = batch.column(0).to_numpy(zero_copy_only=False) & ((1 << slots) - 1)
@@ -233,6 +238,7 @@ def _wanted_sets(words: int, slots: int, bits):
 def _similar(similarity: float):
     """(a, b) of (a, b, hashes_a, hashes_b) of that Jaccard similarity or more."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -255,17 +261,19 @@ def bit_map(hits: DataFrame, slot: Column, slots: int) -> np.ndarray:
 
 def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, slots: int = 23) -> DataFrame:
     """The pairs (a, b) of documents of keyed (doc, text) whose sets of shingles are that similar."""
-    # Sets are made again for the documents that pairs name.
-    bits = bit_map(pairs.select(F.explode(F.array("a", "b")).alias("node")), F.col("node").bitwiseAND(F.lit((1 << slots) - 1)), slots)
-    sets = keyed.mapInArrow(_wanted_sets(words, slots, keyed.sparkSession.sparkContext.broadcast(bits)), "node bigint, hashes array<bigint>")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hashes_b")), "b").select("a", "b", "hashes_a", "hashes_b")
+    spark, slot = keyed.sparkSession, F.col("node").bitwiseAND(F.lit((1 << slots) - 1))
+
+    def sets(side: str) -> DataFrame:  # made again, for the documents that this side of the pairs names
+        bits = spark.sparkContext.broadcast(bit_map(pairs.select(F.col(side).alias("node")), slot, slots))
+        return keyed.mapInArrow(_wanted_sets(words, slots, bits), "node bigint, hashes array<bigint>").select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+
+    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "hashes_a", "hashes_b")
     return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
 
 
-def sketch_fits(x: str, y: str, similarity: float) -> Column:
-    """Whether sketches allow the sets of the structs x and y to be that similar: no similar pair fails."""
-    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(SKETCH)), F.lit(0))
+def sketch_fits(x: str, y: str, similarity: float, longs: int = SKETCH) -> Column:
+    """Whether sketches, or so many longs of them, allow the sets of the structs x and y to be that similar: no similar pair fails."""
+    apart = sum((F.bit_count(F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))) for i in range(longs)), F.lit(0))
     return apart <= (1 - similarity) / (1 + similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + SLACK
 
 
@@ -293,31 +301,46 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = heads.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("doc") == F.col("node")), "left_semi").withColumnRenamed("doc", "node")
     rows = shared_keys(reps)
     sketches = reps.select("node", F.struct("n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("of"))
-    # Blocks of fingerprints propose the closest pairs. Besides, each document is tried with the one that it shares most
-    # first hashes with, of one for each hash. Both only bring groups together in few links: the last step leaves out no pair.
-    prints = checkpointed(reps.groupBy("fp").agg(F.min("node").alias("node")))
-    proposed = close_pairs(prints).union(reps.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b")))
-    hubs = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
-    tried = rows.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
-    best = tried.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
-    few = proposed.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    few = few.join(sketches.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
-    few = checkpointed(few.where(sketch_fits("x", "y", similarity)).select("a", "b").distinct())
+    few = likely(reps, rows, sketches, similarity)
+    release(docs.sparkSession)
     links = checkpointed(copies.union(verified(few, keyed, words, similarity)))
-    # What shares a first hash and is in no common group yet: all with all.
+    release(docs.sparkSession)
+    # What shares a first hash and is in no common group yet: all with all, by half a sketch where rows are many.
     placed = rows.join(components(links), "node", "left").select("key", "pos", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    bits = [F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]
-    left = checkpointed(placed.join(mixed, "key").join(reps.select("node", *bits), "node").select("key", F.struct("pos", "node", "n", "root", *[f"s{i}" for i in range(SKETCH)]).alias("x")))
+    left = placed.join(mixed, "key").join(reps.select("node", "sketch"), "node").select("key", F.struct("pos", "node", "n", "root", *[F.col("sketch")[i].alias(f"s{i}") for i in range(HALF)]).alias("x"))
     met = left.join(left.withColumnRenamed("x", "y"), "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")))
     small, large = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
     # The first hash that two sets share bounds what they share.
     most = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK) & sketch_fits("x", "y", similarity)
+    near = (small >= similarity * large - SLACK) & (most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - SLACK) & sketch_fits("x", "y", similarity, HALF)
     pairs = met.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    pairs = checkpointed(pairs.join(few, ["a", "b"], "left_anti"))
-    links = links.union(verified(pairs, keyed, words, similarity))
-    return components(links).where("node <> root").select(F.col("node").alias("doc"), "root")
+    pairs = plausible(pairs.join(few, ["a", "b"], "left_anti"), sketches, similarity)
+    del placed, mixed, left, met
+    release(docs.sparkSession)
+    found = components(checkpointed(links.union(verified(pairs, keyed, words, similarity)))).where("node <> root").select(F.col("node").alias("doc"), "root")
+    release(docs.sparkSession)
+    return found
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches (node, of) fit."""
+    met = pairs.join(sketches.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
+    return checkpointed(met.where(sketch_fits("x", "y", similarity)).select("a", "b").distinct())
+
+
+def likely(reps: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs that bring groups together in few links, found without a look at all pairs.
+
+    Blocks of fingerprints propose the closest pairs. Besides, each document is tried with the one that it shares most
+    first hashes with, of one for each hash.
+    """
+    prints = checkpointed(reps.groupBy("fp").agg(F.min("node").alias("node")))
+    proposed = close_pairs(prints).union(reps.select("fp", F.col("node").alias("a")).join(prints, "fp").where("a <> node").select("a", F.col("node").alias("b")))
+    hubs = rows.groupBy("key").agg(F.min_by("node", F.xxhash64("node")).alias("hub"))
+    tried = rows.join(hubs, "key").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("n"))
+    best = tried.groupBy("node").agg(F.max(F.struct("n", "hub")).alias("best")).select(F.col("node").alias("a"), F.col("best.hub").alias("b"))
+    return plausible(proposed.union(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sketches, similarity)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
