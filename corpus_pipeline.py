@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256) of each document."""
     path, pattern = tokenizer_files()
-    return bpe.encode(docs, path, pattern, columns=["doc_id", "lang", "source"])
+    return bpe.encode(docs, path, pattern, columns=["doc_id", "lang", "source"], remember=1 << 15)  # workers have held other stages before
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
