@@ -60,9 +60,14 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files that no result refers to any more, now and not when the driver's heap is next cleaned."""
+    """Let go of the shuffle files that no result refers to any more, now and not when the driver's heap is next cleaned.
+
+    Executors clean their heaps too, as far as a small job reaches them: workers in Python need room beside them.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
 
 
 def packed(docs: DataFrame) -> DataFrame:
