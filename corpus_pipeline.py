@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphframe.llm import bpe, line_dedup, mixing, simhash, toxicity
-from glyphframe.llm.common import read_table, written
+from glyphframe.llm.common import read_table, release, written
 from glyphframe.llm.queries import tokenizer_files
 
 #: SQL can express neither the scores of texts nor the token ids; the tests hold the stages against brute force.
@@ -21,6 +21,7 @@ def same_columns(df: DataFrame, docs: DataFrame) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a model fitted on the labels finds toxic go. Null and empty texts stay."""
+    release(spark)  # what earlier work has left
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
     return same_columns(toxicity.toxicity(docs, model).where("predicted = 0"), docs)
 
