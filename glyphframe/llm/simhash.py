@@ -19,6 +19,7 @@ sizes, places and sketches rule out most others before a pair is verified by its
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterable, Iterator
@@ -40,6 +41,8 @@ SLACK = 1e-9
 SKETCH, HALF = 8, 4
 #: Shingles that are known to be common, at most: 16 bytes each on the driver and in each worker.
 COMMON = 1 << 19
+#: Hashes of sets that a round of verification moves, at least; as many as there are in all sets where that is more.
+ROOM = 1 << 22
 
 
 def shingle_hashes(text: bytes, words: int, most: int = 1 << 14) -> Iterator[np.ndarray]:
@@ -259,16 +262,34 @@ def bit_map(hits: DataFrame, slot: Column, slots: int) -> np.ndarray:
     return bits
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, slots: int = 23) -> DataFrame:
-    """The pairs (a, b) of documents of keyed (doc, text) whose sets of shingles are that similar."""
+def in_rounds(pairs: DataFrame, room: int) -> list[DataFrame]:
+    """The pairs (a, b, weight) in as many parts, dealt by hash, as their weight needs for parts of about that room."""
+    total = pairs.agg(F.sum("weight")).first()[0] or 0
+    rounds = max(1, math.ceil(total / room))
+    return [pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r) for r in range(rounds)]
+
+
+def verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float, room: int, slots: int = 23) -> DataFrame:
+    """The pairs (a, b, weight) of documents of keyed (doc, text) whose sets of shingles are that similar.
+
+    weight is the size of both sets. What is shuffled is the sets, so the pairs go in rounds of about room hashes, and a
+    round's shuffle is let go of before the next.
+    """
     spark, slot = keyed.sparkSession, F.col("node").bitwiseAND(F.lit((1 << slots) - 1))
 
-    def sets(side: str) -> DataFrame:  # made again, for the documents that this side of the pairs names
-        bits = spark.sparkContext.broadcast(bit_map(pairs.select(F.col(side).alias("node")), slot, slots))
-        return keyed.mapInArrow(_wanted_sets(words, slots, bits), "node bigint, hashes array<bigint>").select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+    def met(part: DataFrame) -> DataFrame:
+        def sets(side: str) -> DataFrame:  # made again, for the documents that this side of the pairs names
+            bits = spark.sparkContext.broadcast(bit_map(part.select(F.col(side).alias("node")), slot, slots))
+            return keyed.mapInArrow(_wanted_sets(words, slots, bits), "node bigint, hashes array<bigint>").select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+
+        both = part.select("a", "b").join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "hashes_a", "hashes_b")
+        return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
 
-    both = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", "hashes_a", "hashes_b")
-    return checkpointed(both.mapInArrow(_similar(similarity), "a bigint, b bigint").distinct())
+    found = []
+    for part in in_rounds(pairs, room):
+        found.append(met(part))
+        release(spark)
+    return functools.reduce(DataFrame.union, found)
 
 
 def sketch_fits(x: str, y: str, similarity: float, longs: int = SKETCH) -> Column:
@@ -301,9 +322,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = heads.join(classes.select(F.col("digest").alias("d"), "node"), (F.col("digest") == F.col("d")) & (F.col("doc") == F.col("node")), "left_semi").withColumnRenamed("doc", "node")
     rows = shared_keys(reps)
     sketches = reps.select("node", F.struct("n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]).alias("of"))
+    room = max(ROOM, reps.agg(F.sum("n")).first()[0] or 0)
     few = likely(reps, rows, sketches, similarity)
     release(docs.sparkSession)
-    links = checkpointed(copies.union(verified(few, keyed, words, similarity)))
+    links = checkpointed(copies.union(verified(few, keyed, words, similarity, room)))
     release(docs.sparkSession)
     # What shares a first hash and is in no common group yet: all with all, by half a sketch where rows are many.
     placed = rows.join(components(links), "node", "left").select("key", "pos", "node", "n", F.coalesce("root", "node").alias("root"))
@@ -318,19 +340,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = plausible(pairs.join(few, ["a", "b"], "left_anti"), sketches, similarity)
     del placed, mixed, left, met
     release(docs.sparkSession)
-    found = components(checkpointed(links.union(verified(pairs, keyed, words, similarity)))).where("node <> root").select(F.col("node").alias("doc"), "root")
+    found = components(checkpointed(links.union(verified(pairs, keyed, words, similarity, room)))).where("node <> root").select(F.col("node").alias("doc"), "root")
     release(docs.sparkSession)
     return found
 
 
 def plausible(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches (node, of) fit."""
+    """(a, b, weight) of the pairs (a, b) whose sketches (node, of) fit; weight is the size of both sets."""
     met = pairs.join(sketches.select(F.col("node").alias("a"), F.col("of").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("of").alias("y")), "b")
-    return checkpointed(met.where(sketch_fits("x", "y", similarity)).select("a", "b").distinct())
+    return checkpointed(met.where(sketch_fits("x", "y", similarity)).select("a", "b", (F.col("x.n").cast("bigint") + F.col("y.n")).alias("weight")).distinct())
 
 
 def likely(reps: DataFrame, rows: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs that bring groups together in few links, found without a look at all pairs.
+    """(a, b, weight), a < b: pairs that bring groups together in few links, found without a look at all pairs.
 
     Blocks of fingerprints propose the closest pairs. Besides, each document is tried with the one that it shares most
     first hashes with, of one for each hash.
