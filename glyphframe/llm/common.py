@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.shared import checkpointed, shared_dir, written  # noqa: F401
+from ..sources.shared import checkpointed, release, shared_dir, written  # noqa: F401
 
 #: ASCII white space, `[\x20\x09-\x0D]`.
 SPACE = b" \t\n\x0b\x0c\r"
@@ -59,17 +59,6 @@ def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files that no result refers to any more, now and not when the driver's heap is next cleaned.
-
-    Executors clean their heaps too, as far as a small job reaches them: workers in Python need room beside them.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, tasks, 1, tasks).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """One struct column `row`: extra columns of whatever names stay out of the way."""
     return docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
