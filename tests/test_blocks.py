@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from glyphframe.operators import graph
+from glyphframe.operators import frequency, graph, vectors
 
 
 def test_triangles_by_blocks(spark):
@@ -23,3 +23,40 @@ def test_triangles_by_blocks(spark):
         got = dict(found.collect())
         assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-12 for g in want)
     assert graph.clustering(edges.limit(0)).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_without_a_shuffle(spark):
+    rng = np.random.default_rng(1)
+    points = {int(i): rng.normal(size=5) for i in rng.permutation(60)}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in points.items()], "id bigint, v array<double>").repartition(3)
+    found = vectors.distances(rows, "id", "v", block=7)
+    assert "hashpartitioning" not in plan(found)
+    got = {(r.a, r.b): r.d for r in found.collect()}
+    assert got.keys() == set(itertools.permutations(points, 2))
+    assert all(abs(d - np.linalg.norm(points[a] - points[b])) < 1e-8 for (a, b), d in got.items())
+    assert vectors.distances(rows.limit(0), "id", "v").count() == 0
+
+
+def test_matches_without_a_shuffle(spark):
+    rng = np.random.default_rng(2)
+    shapes = [(8, 8), (5, 9), (8, 8), (2, 2), (3, 3)] * 6
+    drawings = {i: np.round(rng.normal(size=s), 1) * (i % 7 > 0) for i, s in enumerate(shapes)}
+    drawings[4] = drawings[9] + 5  # equal but for brightness
+    images = spark.createDataFrame([(i, m.shape[0], m.shape[1], m.ravel().tolist()) for i, m in drawings.items()], "img_id bigint, h int, w int, px array<double>").repartition(3)
+    templates = frequency.image_templates(images, 3, 2)
+    want = {}
+    for r in templates.collect():
+        for i, m in drawings.items():
+            if i != r.source and min(m.shape) >= 3:
+                score = np.round(frequency.patches(m, 3)[0] @ np.array(r.unit), 6) + 0.0
+                best = int(score.argmax())
+                want[i, r.template] = (score[best], *divmod(best, m.shape[1] - 2))
+    for least in (None, 0.0, 0.7, 0.9):
+        found = frequency.best_matches(images, templates, 3, least, block=5)
+        assert "hashpartitioning" not in plan(found)
+        got = {(r.img_id, r.template): (r.score, r.y, r.x) for r in found.collect()}
+        assert got == {k: v for k, v in want.items() if least is None or v[0] >= least}, least
