@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clustering import cut, ward
+from . import blocks
 
 
 def standardised(rows: DataFrame, vector: str) -> DataFrame:
@@ -45,10 +46,10 @@ def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean",
     """(a, b, d) for ordered pairs of different rows: all of them, or the k nearest b of each a by rounded distance, then key.
 
     Blocks of rows meet blocks of rows, each pair of blocks in one task as matrices; with k only the k best of a block go on.
-    The work is that of all pairs, memory that of two blocks; a vector is sent once for each block. Vectors have one length,
-    without nulls.
+    The work is that of all pairs, memory that of two blocks. With k a vector is sent once for each block; without, small
+    packs are read from the shared folder instead, and nothing is shuffled. Vectors have one length, without nulls.
     """
-    total = rows.count()
+    total = rows.count() if k is not None else 0
     parts = max(1, math.ceil(total / block))
     placed = rows.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
@@ -66,8 +67,9 @@ def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean",
     def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
         return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
+    out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())])
+
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return out.empty_table()
         b = b.sort_by("id")
@@ -89,6 +91,9 @@ def distances(rows: DataFrame, key: str, vector: str, metric: str = "euclidean",
             parts.append(pa.table([ia[start + r], ib[c], d[r, c]], schema=out))
         return pa.concat_tables(parts)
 
+    if k is None:
+        packs = blocks.packed(placed.select("id", "v"), block)
+        return blocks.meet(packs, packs, lambda a, b, _: meet(a, b).to_batches(), "a bigint, b bigint, d double")
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, "a bigint, b bigint, d double")
 
 
