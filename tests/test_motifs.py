@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from glyphframe.operators import frequency
+from glyphframe.operators import frequency, overlaps
 
 
 def drawn(spark, seed, n=40):
@@ -71,3 +71,46 @@ def test_report_is_that_of_all_matches(spark):
     new = frequency.distinct_motifs(frequency.match_counts(images, templates, 3, 0.6, block=7), templates.drop("unit"), cell=4)
     rows = lambda df: sorted((r.template, r.source, r.n, [tuple(m) for m in r.matches]) for r in df.collect())
     assert rows(old) and rows(old) == rows(new)
+
+
+def test_most_shared(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(i), [int(b) for b in rng.integers(0, 60, size=rng.integers(0, 12))]) for i in rng.permutation(90).tolist() * 2] + [(5, None), (None, [1, 2]), (6, [])]
+    rows += [(-i, [7, 2**60, None]) for i in range(30)]  # copies
+    sets = {}
+    for i, b in rows:
+        if i is not None:
+            sets.setdefault(i, set()).update(x for x in b or () if x is not None)
+    counts = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b]
+    want = sorted((x for x in counts if x[2]), key=lambda x: (-x[2], x[0], x[1]))
+    df = spark.createDataFrame(rows, "item bigint, baskets array<bigint>")
+    for most, size in ((20, 1 << 19), (20, 50), (1, 100), (700, 70)):
+        found = overlaps.most_shared(df, "item", "baskets", most, size)
+        assert "hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()  # no pair is shuffled by key
+        assert [tuple(r) for r in found.collect()] == want[:most], (most, size)
+    assert overlaps.most_shared(df.limit(0), "item", "baskets", 3).count() == 0
+
+
+def test_parts_of_memberships(monkeypatch):
+    """Work in parts: whole items, however small the room."""
+    rng = np.random.default_rng(9)
+    place, spread = np.sort(rng.integers(0, 20, 100)), rng.integers(1, 9, 100)
+    for room in (1, 30, 10**6):
+        monkeypatch.setattr(overlaps, "ROOM", room)
+        parts = list(overlaps._parts(place, spread))
+        assert [i for i, _ in parts] == [0, *(j for _, j in parts[:-1])] and parts[-1][1] == 100
+        assert all(place[j - 1] != place[j] for _, j in parts[:-1])
+        assert all(spread[i:j].sum() <= room or place[i] == place[j - 1] for i, j in parts)
+    keys = rng.integers(0, 50, 200)
+    for room in (50, 10**9):
+        n, found = overlaps._counted(keys, room)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {int(k): int((keys == k).sum()) for k in set(keys.tolist())}
+
+
+def test_members(spark):
+    drawings, images = drawn(spark, 10)
+    templates = frequency.image_templates(images, 3, 1)
+    want = {(t, i) for t, m in by_hand(drawings, templates.collect(), 0.8).items() for _, i in m} | {(r.template, r.source) for r in templates.collect()}
+    for block in (3, 512):
+        found = [(t, r.img_id) for r in frequency.members(images, templates, 3, 0.8, block).collect() for t in r.templates]
+        assert len(found) == len(want) and set(found) == want
