@@ -52,9 +52,7 @@ def most_shared(rows: DataFrame, item: str, baskets: str, most: int, size: int =
             low, spread = int(place[i]), sizes[own[i:j]]
             ends = np.cumsum(spread)
             key = np.repeat((place[i:j].astype(np.int64) - low) * width, spread) + others[np.repeat(begins[own[i:j]] - ends + spread, spread) + np.arange(ends[-1])]
-            n, key = _counted(key, (int(place[j - 1]) - low + 1) * width)
-            enough = n >= kept["bound"]
-            n, key = n[enough], key[enough]
+            n, key = _counted(key, (int(place[j - 1]) - low + 1) * width, kept["bound"])
             first, second = x[key // width + low], y[key % width]
             differ = first < second if kept["same"] else first != second
             n, first, second = n[differ], first[differ], second[differ]
@@ -111,12 +109,13 @@ def _parts(place: np.ndarray, spread: np.ndarray) -> Iterator[tuple[int, int]]:
         i, done = j, upto[j - 1]
 
 
-def _counted(keys: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, keys) of keys below room."""
+def _counted(keys: np.ndarray, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, keys) of the keys, below room, that come least times or more, 1 at least."""
     if room <= max(4 * len(keys), 1 << 16):
         n = np.bincount(keys)
-        found = np.flatnonzero(n)
+        found = np.flatnonzero(n >= least)
         return n[found], found
     keys = np.sort(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return np.diff(np.append(starts, len(keys))), keys[starts]
+    n = np.diff(np.append(starts, len(keys)))
+    return n[n >= least], keys[starts[n >= least]]

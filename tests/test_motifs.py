@@ -49,13 +49,26 @@ def test_large_images_in_strips(spark, monkeypatch, single):
     stacks, large = frequency._stacks(images.toArrow(), 3)
     assert bool(stacks) == (single > 1) and bool(large) == (single < 1 << 23)
     got = {}
-    for keys, first, near, _, exact in frequency._near(stacks, large, units, sources, 3, 0.5, tile=4):
-        i, j = np.nonzero(near)
-        for key, k, score in zip(keys[i], j + first, exact(i, j), strict=True):
+    for keys, i, j, _, exact in frequency._near(stacks, large, units, sources, 3, 0.5, frequency._cells(units, 3, 0.5, each=4)):
+        for key, k, score in zip(keys[i], j, exact(i, j), strict=True):
             got.setdefault(templates[k].template, []).append((-score, key))
     assert {t: sorted(m) for t, m in got.items()} == {t: sorted(m) for t, m in by_hand(drawings, templates, 0.5).items()}
 
 
+def test_cells_lose_no_place():
+    """Places that score enough with a template reach the centre of its cell; units of other lengths meet all places."""
+    rng = np.random.default_rng(11)
+    units, places = (np.divide(x, np.linalg.norm(x, axis=1, keepdims=True)) for x in rng.normal(size=(2, 3000, 9)) - np.zeros((2, 1, 1)))
+    for least in (0.9, 0.5, 0.05):
+        parts, centres, bounds = frequency._cells(units.T, 3, least, each=16)
+        assert sorted(np.concatenate([c for c, _ in parts]).tolist()) == list(range(3000))
+        for (columns, some), centre, bound in zip(parts, centres, bounds, strict=True):
+            hit = (places @ units[columns].T >= least - 5e-7).any(axis=1)
+            assert (places.astype(np.float32)[hit] @ centre >= bound).all()
+    assert np.mean(places @ centres.T >= bounds) > 0.5 > np.mean(places @ frequency._cells(units.T, 3, 0.95, each=16)[1].T >= frequency._cells(units.T, 3, 0.95, each=16)[2])
+    assert np.isinf(frequency._cells(units.T, 3, 0.0)[2]).all() and np.isinf(frequency._cells(units.T * 2, 3, 0.9)[2]).all()
+
+
 def test_images_of_one_number_count_once(spark):
     _, images = drawn(spark, 5)
     twice = images.union(images.where("img_id < 9"))
@@ -102,9 +115,9 @@ def test_parts_of_memberships(monkeypatch):
         assert all(place[j - 1] != place[j] for _, j in parts[:-1])
         assert all(spread[i:j].sum() <= room or place[i] == place[j - 1] for i, j in parts)
     keys = rng.integers(0, 50, 200)
-    for room in (50, 10**9):
-        n, found = overlaps._counted(keys, room)
-        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {int(k): int((keys == k).sum()) for k in set(keys.tolist())}
+    for room, least in ((50, 1), (10**9, 1), (50, 5), (10**9, 5)):
+        n, found = overlaps._counted(keys, room, least)
+        assert dict(zip(found.tolist(), n.tolist(), strict=True)) == {int(k): c for k in set(keys.tolist()) if (c := int((keys == k).sum())) >= least}
 
 
 def test_members(spark):
