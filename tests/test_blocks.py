@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from glyphframe.operators import frequency, graph, vectors
 
@@ -60,3 +61,19 @@ def test_matches_without_a_shuffle(spark):
         assert "hashpartitioning" not in plan(found)
         got = {(r.img_id, r.template): (r.score, r.y, r.x) for r in found.collect()}
         assert got == {k: v for k, v in want.items() if least is None or v[0] >= least}, least
+
+
+def test_all_matches_come_by_score(spark, tmp_path):
+    """Where all pairs are the result, equal scores stand together: a written result is smaller than a number a row."""
+    rng = np.random.default_rng(5)
+    drawings = np.round(rng.random((700, 4, 4)), 1)
+    images = spark.createDataFrame([(i, 4, 4, m.ravel().tolist()) for i, m in enumerate(drawings)], "img_id bigint, h int, w int, px array<double>").coalesce(1)
+    templates = frequency.image_templates(images, 3)
+    units = {r.source: np.array(r.unit) for r in templates.collect()}
+    frequency.best_matches(images, templates, 3).coalesce(1).write.parquet(f"{tmp_path}/found")
+    found = pq.read_table(sorted(tmp_path.glob("found/*.parquet"))[0])
+    key, template, score, y, x = (found.column(c).to_numpy() for c in ("img_id", "template", "score", "y", "x"))
+    assert len(units) == 700 and len(found) == 700 * 699 == len(set(zip(key.tolist(), template.tolist(), strict=True)))
+    assert (key != template).all() and ((score[1:] < score[:-1]).sum()) <= 1  # two packs of images
+    want = np.stack([np.round(frequency.patches(m, 3)[0] @ np.array([units[i] for i in range(700)]).T, 6) + 0.0 for m in drawings])
+    assert (want.max(axis=1)[key, template] == score).all() and (want.argmax(axis=1)[key, template] == y * 2 + x).all()
